@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text that the vectorised functions take at once; each byte costs about 40 bytes of memory.
 CHUNK_BYTES = 1 << 21
@@ -34,7 +35,7 @@ def by_bytes(batches: Iterator[pa.RecordBatch], name: str = "text", most: int =
     for batch in batches:
         if not batch.num_rows:
             continue
-        size = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(column(batch, name)), 0).to_numpy(zero_copy_only=False))
+        size = np.cumsum(pc.fill_null(pc.binary_length(column(batch, name)), 0).to_numpy(zero_copy_only=False))
         at = 0
         while at < batch.num_rows:
             before = size[at - 1] if at else 0
@@ -45,7 +46,7 @@ def by_bytes(batches: Iterator[pa.RecordBatch], name: str = "text", most: int =
 
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts and the n + 1 offsets; a null text is empty."""
-    texts = pa.compute.fill_null(texts.cast(pa.large_binary()), b"")
+    texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
     offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
     data = texts.buffers()[2]
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)

@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .batches import by_bytes, column
@@ -135,6 +136,6 @@ def extract_text(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = (
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, html):
             texts = pa.array([main_text(x) for x in column(batch, html).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*[column(batch, c) for c in keep], texts, pa.compute.utf8_length(texts).cast(pa.int64())], [*keep, "text", "n_chars"])
+            yield pa.RecordBatch.from_arrays([*[column(batch, c) for c in keep], texts, pc.utf8_length(texts).cast(pa.int64())], [*keep, "text", "n_chars"])
 
     return pages.select(*keep, html).mapInArrow(run, f"{fields}, text string, n_chars bigint")

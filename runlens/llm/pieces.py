@@ -20,6 +20,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -250,7 +251,7 @@ def encode_pieces(docs: DataFrame, path: str, text: str = "text", ids: str = "pi
             texts = column(batch, text).fill_null("").to_pylist()
             flat, offsets = model.encode(texts)
             back = _strings(*model.decode(flat, offsets))
-            same = pa.compute.equal(back, pa.array([t.replace(MARK, " ") for t in texts], pa.string()))
+            same = pc.equal(back, pa.array([t.replace(MARK, " ") for t in texts], pa.string()))
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(np.diff(offsets), pa.int64()), same], [*batch.schema.names, *new])
 
@@ -269,9 +270,9 @@ def decode_pieces(encoded: DataFrame, path: str, ids: str = "piece_ids", text: s
                 part = batch.slice(at, 256)
                 lists = column(part, ids)
                 flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                offsets = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+                offsets = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
                 back = _strings(*model.decode(flat, offsets))
-                back = pa.compute.if_else(lists.is_valid(), back, pa.scalar(None, pa.string()))
+                back = pc.if_else(lists.is_valid(), back, pa.scalar(None, pa.string()))
                 yield pa.RecordBatch.from_arrays([*part.columns, back], [*part.schema.names, text])
 
     return encoded.mapInArrow(run, schema)

@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .batches import by_bytes, column
@@ -70,7 +71,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 4096, text: str = "tex
         encoder, splits = load_model(model)
         for batch in by_bytes(batches, text, batch_bytes):
             texts = column(batch, text).fill_null("")
-            n_bytes = pa.compute.binary_length(texts).cast(pa.int64())
+            n_bytes = pc.binary_length(texts).cast(pa.int64())
             parts, owner = [], []
             for i, (t, n) in enumerate(zip(texts.to_pylist(), n_bytes.to_pylist(), strict=True)):
                 own = safe_parts(t, split_bytes) if splits and n > split_bytes else [t]
@@ -87,7 +88,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 4096, text: str = "tex
                     counts[i] += len(ids)
                 at = end
             n_tokens = pa.array(counts, pa.int64())
-            yield pa.RecordBatch.from_arrays([column(batch, id_), n_bytes, n_tokens, pa.compute.greater(n_tokens, limit)], [id_, "n_bytes", "n_tokens", "over_limit"])
+            yield pa.RecordBatch.from_arrays([column(batch, id_), n_bytes, n_tokens, pc.greater(n_tokens, limit)], [id_, "n_bytes", "n_tokens", "over_limit"])
 
     kind = docs.schema[id_].dataType.simpleString()
     return docs.select(id_, text).mapInArrow(run, f"`{id_}` {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
