@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .html_text import extract_text
+from .jaccard import jaccard_components
 from .langid import held_out_languages
 from .language_model import score_texts
 from .pieces import encode_pieces
@@ -52,6 +53,11 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under links of like shingle sets."""
+    return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from four fifths of them."""
     return held_out_languages(table(spark, sf_dir, "documents"))
@@ -68,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_token_counts": op5_token_counts,
     "op6_url_filters": op6_url_filters,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
     "op9_language_id": op9_language_id,
     "op10_sentencepiece": op10_sentencepiece,
 }
