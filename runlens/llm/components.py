@@ -71,10 +71,11 @@ def linked_components(spark: SparkSession, buckets: DataFrame, bounds: Callable,
     group of copies are never listed.
     """
     others = [c for c in buckets.columns if c not in ("key", "node")]
-    leader = buckets.groupBy("key").agg(F.min_by(F.struct("node", *others), "node").alias("y"), F.count("*").alias("size")).where("size > 1")
-    met = buckets.join(leader, "key").select("key", F.struct("node", *others).alias("x"), "y")
-    met = work.keep(met, "buckets")
-    tried = work.keep(met.where((F.col("x.node") != F.col("y.node")) & bounds(F.col("x"), F.col("y"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "to-leader")
+    leader = buckets.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("size")).where("size > 1").drop("size")
+    met = work.keep(buckets.join(leader, "key").select("key", F.struct("node", *others).alias("x"), "leader"), "buckets")
+    first = met.where(F.col("x.node") == F.col("leader")).select("key", F.col("x").alias("y"))
+    to_leader = met.where(F.col("x.node") != F.col("leader")).join(first, "key").where(bounds(F.col("x"), F.col("y")))
+    tried = work.keep(to_leader.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "to-leader")
     links = work.keep(verify(tried), "leader-links")
     known = work.keep(connected_components(links, work), "leader-components")
     members = with_roots(met.select("key", F.col("x.node").alias("node"), "x"), known)
