@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontamination import find_passages
 from .html_text import extract_text
 from .jaccard import jaccard_components
 from .langid import held_out_languages
 from .language_model import score_texts
+from .line_dedup import dedup_lines
 from .pieces import encode_pieces
 from .quality import judge_quality
 from .token_counts import MODEL, count_tokens
@@ -28,6 +30,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(MODEL)
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with each benchmark item of which it holds a passage."""
+    return find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return extract_text(table(spark, sf_dir, "pages"))
@@ -58,6 +65,11 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the lines left that occur first, and how many went."""
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from four fifths of them."""
     return held_out_languages(table(spark, sf_dir, "documents"))
@@ -69,12 +81,14 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_html_extraction": op2_html_extraction,
     "op3_lm_scoring": op3_lm_scoring,
     "op4_quality_rules": op4_quality_rules,
     "op5_token_counts": op5_token_counts,
     "op6_url_filters": op6_url_filters,
     "op7_ngram_jaccard": op7_ngram_jaccard,
+    "op8_line_dedup": op8_line_dedup,
     "op9_language_id": op9_language_id,
     "op10_sentencepiece": op10_sentencepiece,
 }
