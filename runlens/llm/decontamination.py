@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .line_dedup import distance, simhash
+from .line_dedup import distance, with_simhash
 
 #: Words of a shingle, least similarity in percent, and Hamming radius.
 SIZE, SIMILARITY, RADIUS = 5, 75, 15
@@ -48,8 +48,8 @@ def find_passages(docs: DataFrame, items: DataFrame, text: str = "text", id_: st
     rows; repeated rows give one; equal similarities go to the first window. A null id is a document of its own name, null.
     """
     known = items.select(F.col(item_id).alias("item_id"), words_of(F.col(item_text)).alias("item_words")).where(F.size("item_words") > 0)
-    known = known.withColumns({"n_item": F.size("item_words"), "run": F.least(F.lit(size), F.size("item_words"))})
-    known = known.withColumns({"item_shingles": shingles(F.col("item_words"), F.col("run")), "item_sim": simhash(F.col("item_words"))}).dropDuplicates(["item_id", "item_words"])
+    known = known.withColumns({"n_item": F.size("item_words"), "run": F.least(F.lit(size), F.size("item_words"))}).distinct()
+    known = with_simhash(known.withColumns({"item_shingles": shingles(F.col("item_words"), F.col("run")), "words": F.col("item_words")}), "words", ["item_id", "item_words"], "item_sim")
     sent = F.broadcast if known.agg(F.coalesce(F.sum(F.size("item_shingles")), F.lit(0))).first()[0] <= most_sent else (lambda df: df)
     runs = [r[0] for r in known.select("run").distinct().collect()]  # up to `size` numbers
     index = known.select("item_id", "n_item", "run", "item_sim", F.explode(F.array_distinct("item_shingles")).alias("h"))
@@ -69,8 +69,11 @@ def find_passages(docs: DataFrame, items: DataFrame, text: str = "text", id_: st
     first = F.greatest("low", F.coalesce(before + 1, F.lit(1)))
     last = F.least("p", F.greatest(F.lit(1), F.col("n") - F.col("n_item") + 1))
     started = around.withColumns({"first": first, "last": last}).where("first <= last")
-    windows = started.withColumn("start", F.explode(F.sequence("first", "last"))).select("doc_id", "item_id", "n_item", "run", "start", F.slice("around", F.col("start") - F.col("low") + 1, F.col("n_item")).alias("window"))
-    marked = windows.withColumn("sim", simhash(F.col("window")))
+    windows = started.withColumn("start", F.explode(F.sequence("first", "last"))).select(
+        "doc_id", "same", "item_id", "n_item", "run", "item_sim", "start", F.slice("around", F.col("start") - F.col("low") + 1, F.col("n_item")).alias("window")
+    )
+    windows = windows.withColumn("own", shingles(F.col("window"), F.col("run")))
+    marked = with_simhash(windows, "window", ["doc_id", "same", "item_id", "item_sim", "start"])
 
     blocks, width = radius + 1, 64 // (radius + 1)
     numbers = F.sequence(F.lit(0), F.lit(blocks - 1))
@@ -78,13 +81,12 @@ def find_passages(docs: DataFrame, items: DataFrame, text: str = "text", id_: st
     def keys(fingerprint: Column) -> Column:
         return F.transform(numbers, lambda i: _block(fingerprint, i, width))
 
-    by_block = known.select("item_id", "n_item", "item_sim", "item_shingles", F.posexplode(keys(F.col("item_sim"))).alias("block", "bits"))
-    found = marked.select("*", F.posexplode(keys(F.col("sim"))).alias("block", "bits")).join(sent(by_block), ["item_id", "n_item", "block", "bits"])
+    by_block = known.select("item_id", "item_sim", "item_shingles", F.posexplode(keys(F.col("item_sim"))).alias("block", "bits"))
+    found = marked.select("*", F.posexplode(keys(F.col("sim"))).alias("block", "bits")).join(sent(by_block), ["item_id", "item_sim", "block", "bits"])
     agreeing = F.array_min(F.filter(numbers, lambda i: _block(F.col("sim"), i, width) == _block(F.col("item_sim"), i, width)))
     near = found.where((distance(F.col("sim"), F.col("item_sim")) <= radius) & (F.col("block") == agreeing))
 
-    own = near.withColumn("own", shingles(F.col("window"), F.col("run")))
     shared = F.size(F.array_intersect(_numbered(F.col("own")), _numbered(F.col("item_shingles"))))
-    counted = own.select("doc_id", "item_id", "start", shared.alias("shared"), (F.size("own") + F.size("item_shingles") - shared).alias("all"))
+    counted = near.select("doc_id", "item_id", "start", shared.alias("shared"), (F.size("own") + F.size("item_shingles") - shared).alias("all"))
     like = counted.where(100 * F.col("shared") >= similarity * F.col("all")).withColumn("similarity", F.col("shared") / F.col("all"))
     return like.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), F.min_by(F.col("start") - 1, F.struct(-F.col("similarity"), "start")).alias("start"), F.count_distinct("start").alias("n_windows")).withColumnRenamed("doc_id", id_)
