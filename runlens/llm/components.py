@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .workspace import Workspace
 
 #: Bits of the fixed-size filter over ids (2**FILTER_BITS; 1 MB).
 FILTER_BITS = 23
+#: Rows of a written table up to which it is sent to all tasks; more are joined by a shuffle.
+MOST_SENT = 1_000_000
+#: Parts of a hot bucket.
+PARTS = 32
 
 
 def connected_components(edges: DataFrame, work: Workspace) -> DataFrame:
@@ -45,6 +49,11 @@ def with_roots(nodes: DataFrame, components: DataFrame) -> DataFrame:
     return nodes.join(components, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
+def sent(kept: DataFrame, most: int = MOST_SENT) -> DataFrame:
+    """A written table of a few columns, marked to be sent to all tasks if it has `most` rows or less."""
+    return F.broadcast(kept) if kept.count() <= most else kept
+
+
 def id_filter(ids: DataFrame, column: str, bits: int = FILTER_BITS) -> bytes:
     """A bitmap over hashes of ids: of fixed size, whatever the number of ids; it has no false negatives.
 
@@ -62,28 +71,35 @@ def id_filter(ids: DataFrame, column: str, bits: int = FILTER_BITS) -> bytes:
 def linked_components(spark: SparkSession, buckets: DataFrame, bounds: Callable, verify: Callable[[DataFrame], DataFrame], work: Workspace) -> DataFrame:
     """Components under all verified links between members of a bucket: (node, root).
 
-    buckets: (key, node, ...), one row per member, `node` the id of one of its distinct contents. bounds(x, y): what two
-    members' rows must fulfil to be a candidate, given the prefixes of their columns. verify: (a, b) → the pairs that are linked.
+    buckets: (key, node, hot, ...), one row per member, `node` the id of one of its distinct contents, `hot` true for the
+    keys that very many may have. bounds(x, y): what two members' rows must fulfil to be a candidate. verify: (a, b) → the
+    pairs that are linked.
 
-    First each member meets its bucket's least member only. A bucket whose members are then in one component has lost
-    nothing: all of it is linked. In each other bucket, members of different components meet, under the bounds, and what is
-    linked is added. So each pair of a bucket is either verified or in one component already, and the pairs of a large
-    group of copies are never listed.
+    First each member meets its bucket's least member only; a hot bucket is dealt to PARTS parts, whose least members meet
+    that of the bucket. A bucket whose members are then in one component has lost nothing: all of it is linked. In each
+    other bucket, members of different components meet, under the bounds, and what is linked is added. So each pair of a
+    bucket is either verified or in one component already, and the pairs of a large group of copies are never listed.
     """
-    others = [c for c in buckets.columns if c not in ("key", "node")]
-    leader = buckets.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("size")).where("size > 1").drop("size")
-    met = work.keep(buckets.join(leader, "key").select("key", F.struct("node", *others).alias("x"), "leader"), "buckets")
-    first = met.where(F.col("x.node") == F.col("leader")).select("key", F.col("x").alias("y"))
-    to_leader = met.where(F.col("x.node") != F.col("leader")).join(first, "key").where(bounds(F.col("x"), F.col("y")))
+    others = [c for c in buckets.columns if c not in ("key", "hot")]
+    part = F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(PARTS))).otherwise(0)
+    dealt = buckets.select("key", "hot", F.struct("node", *[c for c in others if c != "node"]).alias("x"), part.alias("part"))
+    w = Window.partitionBy("key", "part")
+    led = dealt.withColumns({"y": F.min("x").over(w), "size": F.count(F.lit(1)).over(w)}).where("size > 1 or hot")
+    met = work.keep(led.select("key", "hot", "x", "y"), "buckets")
+    heads = met.where(F.col("hot") & (F.col("x.node") == F.col("y.node"))).select("key", "x").distinct()
+    to_head = heads.join(heads.groupBy("key").agg(F.min("x").alias("y")), "key").select("x", "y")
+    to_leader = met.select("x", "y").unionByName(to_head).where((F.col("x.node") != F.col("y.node")) & bounds(F.col("x"), F.col("y")))
     tried = work.keep(to_leader.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "to-leader")
     links = work.keep(verify(tried), "leader-links")
     known = work.keep(connected_components(links, work), "leader-components")
-    members = with_roots(met.select("key", F.col("x.node").alias("node"), "x"), known)
-    open_ = members.groupBy("key").agg(F.min("root").alias("first"), F.max("root").alias("last")).where("first < last").select("key")
-    rest = work.keep(members.join(open_, "key"), "open-buckets")
+    roots = sent(known)
+    by_key = with_roots(met.select("key", F.col("x.node").alias("node")), roots).groupBy("key").agg(F.min("root").alias("first"), F.max("root").alias("last"))
+    open_ = sent(work.keep(by_key.where("first < last").select("key"), "open-keys"))
+    rest = work.keep(with_roots(met.join(open_, "key", "left_semi").select("key", "x", F.col("x.node").alias("node")), roots), "open-buckets")
     left, right = rest.select("key", F.col("x"), F.col("root").alias("r")), rest.select("key", F.col("x").alias("y"), F.col("root").alias("s"))
     cross = left.join(right, "key").where((F.col("r") < F.col("s")) & bounds(F.col("x"), F.col("y"))).select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
-    more = work.keep(verify(work.keep(cross.join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"), "across")), "across-links")
+    fresh = work.keep(cross.join(sent(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))), ["a", "b"], "left_anti"), "across")
+    more = work.keep(verify(fresh), "across-links")
     if more.isEmpty():
         return known
     return connected_components(links.unionByName(more), work)
