@@ -21,13 +21,23 @@ MOST_SENT = 500_000
 
 def words_of(text: Column) -> Column:
     """Lower-cased runs of letters, marks and digits; an empty array for null."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{M}\p{N}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{M}\p{N}]+"), "")
 
 
-def shingles(words: Column, size: Column) -> Column:
-    """Hashes of all runs of `size` words in order; none where there are fewer words."""
-    last = F.size(words) - size + 1
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, size)))).otherwise(F.array().cast("array<bigint>"))
+def word_hashes(words: Column) -> Column:
+    """Hash of each word."""
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def shingles(hashes: Column, size: Column | int) -> Column:
+    """Hashes of all runs of `size` word hashes in order; none where there are fewer. The same for a number as for a column."""
+    last = F.size(hashes) - size + 1
+    places = F.sequence(F.lit(1), F.greatest(last, F.lit(1)))
+    if isinstance(size, int):
+        runs = F.transform(places, lambda i: F.xxhash64(*[F.get(hashes, i + (k - 1)) for k in range(size)]))
+    else:
+        runs = F.transform(places, lambda i: F.xxhash64(F.slice(hashes, i, size)))
+    return F.when(last >= 1, runs).otherwise(F.array().cast("array<bigint>"))
 
 
 def _numbered(hashes: Column) -> Column:
@@ -49,15 +59,15 @@ def find_passages(docs: DataFrame, items: DataFrame, text: str = "text", id_: st
     """
     known = items.select(F.col(item_id).alias("item_id"), words_of(F.col(item_text)).alias("item_words")).where(F.size("item_words") > 0)
     known = known.withColumns({"n_item": F.size("item_words"), "run": F.least(F.lit(size), F.size("item_words"))}).distinct()
-    known = with_simhash(known.withColumns({"item_shingles": shingles(F.col("item_words"), F.col("run")), "words": F.col("item_words")}), "words", ["item_id", "item_words"], "item_sim")
+    known = with_simhash(known.withColumns({"item_shingles": shingles(word_hashes(F.col("item_words")), F.col("run")), "words": F.col("item_words")}), "words", ["item_id", "item_words"], "item_sim")
     sent = F.broadcast if known.agg(F.coalesce(F.sum(F.size("item_shingles")), F.lit(0))).first()[0] <= most_sent else (lambda df: df)
     runs = [r[0] for r in known.select("run").distinct().collect()]  # up to `size` numbers
     index = known.select("item_id", "n_item", "run", "item_sim", F.explode(F.array_distinct("item_shingles")).alias("h"))
 
-    texts = docs.select(F.col(id_).alias("doc_id"), F.xxhash64(text).alias("same"), words_of(F.col(text)).alias("words"))
+    texts = docs.select(F.col(id_).alias("doc_id"), F.xxhash64(text).alias("same"), words_of(F.col(text)).alias("words")).withColumn("hashes", word_hashes(F.col("words")))
     met = []
     for run in runs or [size]:
-        at = texts.select("doc_id", "same", "words", F.posexplode(shingles(F.col("words"), F.lit(run))).alias("p", "h")).withColumn("run", F.lit(run))
+        at = texts.select("doc_id", "same", "words", F.posexplode(shingles(F.col("hashes"), run)).alias("p", "h")).withColumn("run", F.lit(run))
         met.append(at.join(sent(index), ["h", "run"]))
     anchors = met[0]
     for more in met[1:]:
@@ -72,7 +82,7 @@ def find_passages(docs: DataFrame, items: DataFrame, text: str = "text", id_: st
     windows = started.withColumn("start", F.explode(F.sequence("first", "last"))).select(
         "doc_id", "same", "item_id", "n_item", "run", "item_sim", "start", F.slice("around", F.col("start") - F.col("low") + 1, F.col("n_item")).alias("window")
     )
-    windows = windows.withColumn("own", shingles(F.col("window"), F.col("run")))
+    windows = windows.withColumn("own", shingles(word_hashes(F.col("window")), F.col("run")))
     marked = with_simhash(windows, "window", ["doc_id", "same", "item_id", "item_sim", "start"])
 
     blocks, width = radius + 1, 64 // (radius + 1)
