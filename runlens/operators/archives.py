@@ -1,0 +1,165 @@
+"""Archives as rows of their members; the only operator over run history that needs Python in the tasks."""
+
+from __future__ import annotations
+
+import io
+import posixpath
+import stat
+import tarfile
+import unicodedata
+import zipfile
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.names import archive_kind
+
+
+@dataclass(frozen=True)
+class Limits:
+    """Bytes and members of one artifact, and levels of archives inside it."""
+
+    bytes: int = 1_000_000_000
+    files: int = 100_000
+    nesting: int = 8
+
+
+MEMBER = "path string, inner_path string, archive string, status string, reason string, bytes bigint, content binary"
+_NAMES = [x.split(" ")[0] for x in MEMBER.split(", ")]
+
+
+def _safe_parts(name: str) -> tuple[list[str], str]:
+    """Parts of a member's name, or why it has none."""
+    if name.startswith(("/", "\\")) or name[1:3] in (":\\", ":/"):
+        return [], "absolute"
+    parts = [p for p in posixpath.normpath(name.replace("\\", "/")).split("/") if p not in ("", ".")]
+    if ".." in parts:
+        return [], "outside"
+    return ["".join(c if unicodedata.category(c)[0] != "C" else "_" for c in p)[:200] for p in parts], "" if parts else "outside"
+
+
+class _Names:
+    """Names taken so far; a name that differs in case or composition only gets ~2, ~3, ... before its extension."""
+
+    def __init__(self) -> None:
+        self.taken: set[str] = set()
+        self.next: dict[str, int] = {}
+
+    def take(self, parts: list[str]) -> str:
+        name = "/".join(parts)
+        fold = lambda x: unicodedata.normalize("NFC", x).casefold()
+        key, given = fold(name), name
+        stem, dot, extension = parts[-1].rpartition(".")
+        while fold(given) in self.taken:
+            n = self.next[key] = self.next.get(key, 1) + 1
+            last = f"{stem}~{n}.{extension}" if dot and stem else f"{parts[-1]}~{n}"
+            given = "/".join([*parts[:-1], last])
+        self.taken.add(fold(given))
+        return given
+
+
+def _zip_members(content: bytes) -> Iterator[tuple[str, str, bytes]]:
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        for info in z.infolist():
+            mode = info.external_attr >> 16
+            if info.is_dir():
+                if info.file_size:
+                    yield info.filename, "dir_with_data", b""
+            elif stat.S_ISLNK(mode):
+                yield info.filename, "symlink", b""
+            elif mode and not stat.S_ISREG(mode) and stat.S_IFMT(mode):
+                yield info.filename, "special", b""
+            else:
+                try:
+                    yield info.filename, "", z.read(info)
+                except (zipfile.BadZipFile, ValueError, OSError, NotImplementedError, RuntimeError):
+                    yield info.filename, "corrupt", b""
+
+
+def _tar_members(content: bytes) -> Iterator[tuple[str, str, bytes]]:
+    with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as t:
+        for info in t:
+            why = "symlink" if info.issym() else "hardlink" if info.islnk() else "device" if info.ischr() or info.isblk() else "fifo" if info.isfifo() else ""
+            if info.isdir():
+                continue
+            yield info.name, why if why or info.isreg() else "special", b"" if why else (t.extractfile(info) or io.BytesIO()).read()
+
+
+def _expand(path: str, archive: str, content: bytes, limits: Limits) -> Iterator[tuple]:
+    """Rows of one archive; a broken one is one row."""
+    names, total, files = _Names(), 0, 0
+    rows = []
+    try:
+        for name, why, data in _zip_members(content) if content[:4] == b"PK\x03\x04" else _tar_members(content):
+            parts, bad = _safe_parts(name)
+            why = why or bad
+            if why:
+                rows.append((path, name, archive, "skipped", why, 0, None))
+                continue
+            total, files = total + len(data), files + 1
+            if total > limits.bytes:
+                yield path, None, archive, "rejected", "too many bytes", total, None
+                return
+            if files > limits.files:
+                yield path, None, archive, "not_expanded", "too many files", files, None
+                return
+            rows.append((path, posixpath.join(f"{archive}.d", names.take(parts)) if archive else names.take(parts), archive, "extracted", None, len(data), data))
+    except (zipfile.BadZipFile, tarfile.TarError, EOFError, OSError, ValueError) as e:
+        yield path, None, archive, "rejected", f"corrupt: {type(e).__name__}", 0, None
+        return
+    yield from rows
+
+
+def expand_once(archives: DataFrame, limits: Limits) -> DataFrame:
+    """Members of each row's archive: path, archive (inside the artifact, '' at the top), content → MEMBER. One archive is in memory at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                found: list[tuple] = []
+                for member in _expand(row["path"], row["archive"], row["content"], limits):
+                    found.append(member)
+                    if sum(len(m[-1] or b"") for m in found[-64:]) > 1 << 22 or len(found) >= 256:
+                        yield _batch(found)
+                        found = []
+                if found:
+                    yield _batch(found)
+
+    def _batch(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.string()] * 5 + [pa.int64(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], _NAMES)
+
+    return archives.select("path", "archive", "content").mapInArrow(run, MEMBER)
+
+
+def expand(artifacts: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """All members of artifacts (path, content), nested archives beside themselves as name.d/.
+
+    Each level is a pass over the archives that the one before found, so nested work spreads over tasks. An artifact over its
+    bytes, at any level, is rejected as a whole.
+    """
+    level = artifacts.select("path", F.lit("").alias("archive"), "content")
+    found = expand_once(level, limits)
+    levels = [found]
+    for depth in range(1, limits.nesting + 1):
+        nested = found.where((F.col("status") == "extracted") & archive_kind(F.col("content")).isNotNull() & (F.col("inner_path").rlike(r"(?i)\.(zip|tar|tgz|tar\.gz)$")))
+        if depth == limits.nesting or nested.isEmpty():
+            break
+        found = expand_once(nested.select("path", F.col("inner_path").alias("archive"), "content"), limits)
+        levels.append(found)
+    members = levels[0]
+    for more in levels[1:]:
+        members = members.unionByName(more)
+    over = members.groupBy("path").agg(F.sum("bytes").alias("all"), F.bool_or((F.col("status") == "rejected") & (F.col("archive") == "")).alias("bad")).where((F.col("all") > limits.bytes) | F.col("bad"))
+    kept = members.join(over, "path", "left_anti")
+    gone = over.select("path", F.lit(None).cast("string").alias("inner_path"), F.lit("").alias("archive"), F.lit("rejected").alias("status"), F.lit("artifact rejected").alias("reason"), F.col("all").alias("bytes"), F.lit(None).cast("binary").alias("content"))
+    return kept.unionByName(gone)
+
+
+def manifest(members: DataFrame) -> DataFrame:
+    """Per artifact: how many members were extracted, and lists of those that were skipped or not expanded."""
+    listed = lambda status: F.array_sort(F.collect_list(F.when(F.col("status") == status, F.struct("inner_path", "reason"))))
+    return members.groupBy("path").agg(F.count_if(F.col("status") == "extracted").alias("extracted"), listed("skipped").alias("skipped"), listed("not_expanded").alias("not_expanded"), listed("rejected").alias("rejected"))
