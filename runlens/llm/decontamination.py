@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .line_dedup import distance, with_simhash
+from .line_dedup import distance, with_simhash, words_of
+from .workspace import Workspace
 
 #: Words of a shingle, least similarity in percent, and Hamming radius.
 SIZE, SIMILARITY, RADIUS = 5, 75, 15
@@ -19,11 +20,6 @@ SIZE, SIMILARITY, RADIUS = 5, 75, 15
 MOST_SENT = 500_000
 
 
-def words_of(text: Column) -> Column:
-    """Lower-cased runs of letters, marks and digits; an empty array for null."""
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{M}\p{N}]+"), "")
-
-
 def word_hashes(words: Column) -> Column:
     """Hash of each word."""
     return F.transform(words, lambda w: F.xxhash64(w))
@@ -57,14 +53,15 @@ def find_passages(docs: DataFrame, items: DataFrame, text: str = "text", id_: st
     sum of the larger counts over all their shingles, and their fingerprints are within the radius. Null and empty texts and items give no
     rows; repeated rows give one; equal similarities go to the first window. A null id is a document of its own name, null.
     """
-    known = items.select(F.col(item_id).alias("item_id"), words_of(F.col(item_text)).alias("item_words")).where(F.size("item_words") > 0)
+    work = Workspace(docs.sparkSession)
+    known = items.select(F.col(item_id).alias("item_id"), words_of(F.coalesce(item_text, F.lit(""))).alias("item_words")).where(F.size("item_words") > 0)
     known = known.withColumns({"n_item": F.size("item_words"), "run": F.least(F.lit(size), F.size("item_words"))}).distinct()
-    known = with_simhash(known.withColumns({"item_shingles": shingles(word_hashes(F.col("item_words")), F.col("run")), "words": F.col("item_words")}), "words", ["item_id", "item_words"], "item_sim")
+    known = with_simhash(known.withColumns({"item_shingles": shingles(word_hashes(F.col("item_words")), F.col("run")), "words": F.col("item_words")}), "words", ["item_id", "item_words"], work, "item_sim")
     sent = F.broadcast if known.agg(F.coalesce(F.sum(F.size("item_shingles")), F.lit(0))).first()[0] <= most_sent else (lambda df: df)
     runs = [r[0] for r in known.select("run").distinct().collect()]  # up to `size` numbers
     index = known.select("item_id", "n_item", "run", "item_sim", F.explode(F.array_distinct("item_shingles")).alias("h"))
 
-    texts = docs.select(F.col(id_).alias("doc_id"), F.xxhash64(text).alias("same"), words_of(F.col(text)).alias("words")).withColumn("hashes", word_hashes(F.col("words")))
+    texts = docs.select(F.col(id_).alias("doc_id"), F.xxhash64(text).alias("same"), words_of(F.coalesce(text, F.lit(""))).alias("words")).withColumn("hashes", word_hashes(F.col("words")))
     met = []
     for run in runs or [size]:
         at = texts.select("doc_id", "same", "words", F.posexplode(shingles(F.col("hashes"), run)).alias("p", "h")).withColumn("run", F.lit(run))
@@ -83,7 +80,7 @@ def find_passages(docs: DataFrame, items: DataFrame, text: str = "text", id_: st
         "doc_id", "same", "item_id", "n_item", "run", "item_sim", "start", F.slice("around", F.col("start") - F.col("low") + 1, F.col("n_item")).alias("window")
     )
     windows = windows.withColumn("own", shingles(word_hashes(F.col("window")), F.col("run")))
-    marked = with_simhash(windows, "window", ["doc_id", "same", "item_id", "item_sim", "start"])
+    marked = with_simhash(windows, "window", ["doc_id", "same", "item_id", "item_sim", "start"], work)
 
     blocks, width = radius + 1, 64 // (radius + 1)
     numbers = F.sequence(F.lit(0), F.lit(blocks - 1))
