@@ -28,7 +28,6 @@ FETCH_JSON = (
     "sources map<string, struct<url string, status int, pages int, bytes bigint, sha256 string>>, workflow_id bigint, workflow_name string, event string, pr_numbers array<int>, display_title string, _corrupt_record string"
 )
 TOMBSTONE_JSON = "tombstoned_at timestamp, target string, url string, http_status int, reason string, message string, _corrupt_record string"
-RUN_GLOB = "/*/*/*/runs/*/*"
 
 
 def _relative(root: str) -> Column:
@@ -37,12 +36,20 @@ def _relative(root: str) -> Column:
     return F.regexp_replace(F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B")), r"^.*?\Q" + base + r"\E/", "")
 
 
-def _json(spark: SparkSession, root: str, glob: str, schema: str) -> DataFrame:
-    """Documents of a glob with the parts of their path; a broken one has only _corrupt_record."""
-    read = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(root.rstrip("/") + glob)
+def _json(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
+    """Documents of a name, or a pattern of names, with the parts of their path; a broken one has only _corrupt_record."""
+    read = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").option("recursiveFileLookup", True).option("pathGlobFilter", name).json(root)
     return read.select("*", _relative(root).alias("_path")).withColumn("_at", parse_location(F.col("_path"))).where("_at.reason is null")
 
 
+def _of_attempts(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
+    return _json(spark, root, name, schema).where((F.col("_at.file") == name) & F.col("_at.attempt").isNotNull() & F.col("_at.job_id").isNull())
+
+
+def _of_artifacts(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
+    return _json(spark, root, name, schema).where((F.col("_at.file") == name) & F.col("_at.artifact_id").isNotNull())
+
+
 def listing(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     """(run, attempt, job_id, artifact_id, path, file, length, modified) of all files below the runs; reads no content."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
@@ -72,7 +79,7 @@ def run_json(files: DataFrame) -> DataFrame:
 
 def tombstones(spark: SparkSession, root: str) -> DataFrame:
     """(path, target, reason, http_status, tombstoned_at) of lost files; path is the file that will not come."""
-    read = _json(spark, root, RUN_GLOB + "/**/*.tombstone", TOMBSTONE_JSON)
+    read = _json(spark, root, "*.tombstone", TOMBSTONE_JSON)
     return read.select(F.regexp_replace("_path", r"\.tombstone$", "").alias("path"), "target", "reason", "http_status", "tombstoned_at")
 
 
@@ -87,14 +94,15 @@ def log_lines(spark: SparkSession, root: str) -> DataFrame:
 def build_tables(spark: SparkSession, root: str) -> tuple[Tables, DataFrame]:
     """All tables from the files alone, and rejects (path, reason): documents that don't parse, whose units are left out."""
     at = lambda c: F.col(f"_at.{c}").alias(c)
-    raw = _json(spark, root, RUN_GLOB + "/attempt-*/attempt.json", ATTEMPT_JSON)
-    jobs_raw = _json(spark, root, RUN_GLOB + "/attempt-*/jobs.json", JOB_JSON)
-    listed_raw = _json(spark, root, RUN_GLOB + "/attempt-*/artifacts.json", ARTIFACT_JSON)
-    fetch_raw = _json(spark, root, RUN_GLOB + "/attempt-*/fetch.json", FETCH_JSON)
-    artifact_raw = _json(spark, root, RUN_GLOB + "/artifacts/*/artifact.json", ARTIFACT_JSON)
-    artifact_fetch = _json(spark, root, RUN_GLOB + "/artifacts/*/fetch.json", FETCH_JSON)
+    raw = _of_attempts(spark, root, "attempt.json", ATTEMPT_JSON)
+    jobs_raw = _of_attempts(spark, root, "jobs.json", JOB_JSON)
+    listed_raw = _of_attempts(spark, root, "artifacts.json", ARTIFACT_JSON)
+    fetch_raw = _of_attempts(spark, root, "fetch.json", FETCH_JSON)
+    artifact_raw = _of_artifacts(spark, root, "artifact.json", ARTIFACT_JSON)
+    artifact_fetch = _of_artifacts(spark, root, "fetch.json", FETCH_JSON)
     bad = "_corrupt_record is not null"
-    broken = [x.where(bad).select(*[at(c) for c in ATTEMPT], "_path") for x in (raw, jobs_raw, listed_raw, fetch_raw)]
+    # The second column keeps Spark from asking for the corrupt record alone, which its readers refuse.
+    broken = [x.where(f"{bad} and (id is null or id is not null)" if "id" in x.columns else f"{bad} and (fetched_at is null or fetched_at is not null)").select(*[at(c) for c in ATTEMPT], "_path") for x in (raw, jobs_raw, listed_raw, fetch_raw)]
     rejected = broken[0]
     for more in broken[1:]:
         rejected = rejected.unionByName(more)
