@@ -96,9 +96,17 @@ def linked_components(spark: SparkSession, buckets: DataFrame, bounds: Callable,
     by_key = with_roots(met.select("key", F.col("x.node").alias("node")), roots).groupBy("key").agg(F.min("root").alias("first"), F.max("root").alias("last"))
     open_ = sent(work.keep(by_key.where("first < last").select("key"), "open-keys"))
     rest = work.keep(with_roots(met.join(open_, "key", "left_semi").select("key", "x", F.col("x.node").alias("node")), roots), "open-buckets")
+    # Parts of a bucket can have come apart: what is left of it meets its one least member before members meet each other.
+    head = rest.groupBy("key").agg(F.min(F.struct("x", "root")).alias("h")).select("key", F.col("h.x").alias("y"), F.col("h.root").alias("s"))
+    again = rest.join(head, "key").where((F.col("root") != F.col("s")) & bounds(F.col("x"), F.col("y"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    again = work.keep(again.join(sent(tried), ["a", "b"], "left_anti"), "to-head")
+    links = work.keep(links.unionByName(verify(again)), "more-links")
+    tried = work.keep(tried.unionByName(again), "tried")
+    known = work.keep(connected_components(links, work), "head-components")
+    rest = work.keep(with_roots(rest.drop("root"), sent(known)), "open-members")
     left, right = rest.select("key", F.col("x"), F.col("root").alias("r")), rest.select("key", F.col("x").alias("y"), F.col("root").alias("s"))
     cross = left.join(right, "key").where((F.col("r") < F.col("s")) & bounds(F.col("x"), F.col("y"))).select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
-    fresh = work.keep(cross.join(sent(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))), ["a", "b"], "left_anti"), "across")
+    fresh = work.keep(cross.join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"), "across")
     more = work.keep(verify(fresh), "across-links")
     if more.isEmpty():
         return known
