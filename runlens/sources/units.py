@@ -92,17 +92,19 @@ def log_lines(spark: SparkSession, root: str) -> DataFrame:
 
 
 def build_tables(spark: SparkSession, root: str) -> tuple[Tables, DataFrame]:
-    """All tables from the files alone, and rejects (path, reason): documents that don't parse, whose units are left out."""
+    """All tables from the files alone, and rejects (path, reason): documents that don't parse, whose units are left out.
+
+    Parsed documents are persisted, as several tables read them; write the tables and then clear the session's cache.
+    """
     at = lambda c: F.col(f"_at.{c}").alias(c)
-    raw = _of_attempts(spark, root, "attempt.json", ATTEMPT_JSON)
-    jobs_raw = _of_attempts(spark, root, "jobs.json", JOB_JSON)
-    listed_raw = _of_attempts(spark, root, "artifacts.json", ARTIFACT_JSON)
-    fetch_raw = _of_attempts(spark, root, "fetch.json", FETCH_JSON)
-    artifact_raw = _of_artifacts(spark, root, "artifact.json", ARTIFACT_JSON)
-    artifact_fetch = _of_artifacts(spark, root, "fetch.json", FETCH_JSON)
+    raw = _of_attempts(spark, root, "attempt.json", ATTEMPT_JSON).persist()
+    jobs_raw = _of_attempts(spark, root, "jobs.json", JOB_JSON).persist()
+    listed_raw = _of_attempts(spark, root, "artifacts.json", ARTIFACT_JSON).persist()
+    fetch_raw = _of_attempts(spark, root, "fetch.json", FETCH_JSON).persist()
+    artifact_raw = _of_artifacts(spark, root, "artifact.json", ARTIFACT_JSON).persist()
+    artifact_fetch = _of_artifacts(spark, root, "fetch.json", FETCH_JSON).persist()
     bad = "_corrupt_record is not null"
-    # The second column keeps Spark from asking for the corrupt record alone, which its readers refuse.
-    broken = [x.where(f"{bad} and (id is null or id is not null)" if "id" in x.columns else f"{bad} and (fetched_at is null or fetched_at is not null)").select(*[at(c) for c in ATTEMPT], "_path") for x in (raw, jobs_raw, listed_raw, fetch_raw)]
+    broken = [x.where(bad).select(*[at(c) for c in ATTEMPT], "_path") for x in (raw, jobs_raw, listed_raw, fetch_raw)]
     rejected = broken[0]
     for more in broken[1:]:
         rejected = rejected.unionByName(more)
@@ -112,7 +114,7 @@ def build_tables(spark: SparkSession, root: str) -> tuple[Tables, DataFrame]:
         own = df.where(f"not ({bad})").select(*[at(c) for c in ATTEMPT], *[c for c in df.columns if c not in ("_at", "_corrupt_record", "repo", "host", "run_id", "attempt")])
         return own.join(bad_units, ATTEMPT, "left_anti")
 
-    files = listing(spark, root).select("path", F.col("length").alias("bytes"), "file", *ATTEMPT, "job_id", "artifact_id")
+    files = listing(spark, root).select("path", F.col("length").alias("bytes"), "file", *ATTEMPT, "job_id", "artifact_id").persist()
     attempts_raw, fetches = good(raw), good(fetch_raw)
     attempts = attempts_raw.select(
         *ATTEMPT, F.regexp_replace("_path", "/attempt.json$", "").alias("path"), "status", "conclusion", "run_started_at", F.col("updated_at").alias("completed_at"), "html_url"
