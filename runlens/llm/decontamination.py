@@ -1,9 +1,9 @@
 """Passages of benchmark items in documents (operator 1), with DataFrame operations only.
 
 A document's windows have the size of an item. Windows that share no shingle with the item can't be like it, so only those
-around a shared shingle are fingerprinted; each of them is. Fingerprints are SimHashes of the windows' words. Blocks of
-their bits index the items: RADIUS + 1 blocks, of which two fingerprints within RADIUS bits share one at least. What the
-index finds within the radius is verified by the exact similarity of the shingles, weighted by how often they occur.
+around a shared shingle are fingerprinted; each of them is. Fingerprints are SimHashes of the windows' words, in RADIUS + 1
+blocks, of which two within RADIUS bits share one at least. The blocks find no candidates beyond those of the shingles: they
+and the radius only narrow them. What is within the radius is verified by the exact similarity of the shingles, weighted by how often they occur.
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from .line_dedup import distance, with_simhash, words_of
 from .workspace import Workspace
 
-#: Words of a shingle, least similarity in percent, and Hamming radius.
-SIZE, SIMILARITY, RADIUS = 5, 75, 15
+#: Words of a shingle, least similarity in percent, and Hamming radius; at 75 % up to a seventh of the words can differ at an end.
+SIZE, SIMILARITY, RADIUS = 5, 75, 22
 #: Shingles of all items up to which the items are sent to all tasks; more are joined by a shuffle.
 MOST_SENT = 500_000
 
