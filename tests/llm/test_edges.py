@@ -139,7 +139,16 @@ def test_pages(spark):
     assert html_text.extract_text(pages.limit(0)).count() == 0 and url_rules.judge_urls(pages.limit(0)).count() == 0
 
 
-def test_bits_sum_to_one(docs):
-    """Chances of the mixture over known tokens and the end sum to one less than the escape's share."""
-    got = language_model.score_texts(docs).where("doc_id = 1").first()
-    assert got.n_tokens == 23 and got.score < 0 and got.bits_per_byte > 0
+def test_scores(docs):
+    """Base scores against brute force over the training texts; a very long text is read in pieces."""
+    import math
+    from collections import Counter
+    from zlib import crc32
+
+    tokens = lambda t: [*(t or "").encode().lower().split(), b""]
+    counts = Counter(w for i, t, _ in ROWS if i is not None and crc32(str(i).encode()) % 10 for w in tokens(t))
+    n, v = counts.total(), len(counts)
+    want = sorted((str(i), len(tokens(t)), sum(counts[w] > 0 for w in tokens(t)), round(sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens(t)), 2)) for i, t, _ in ROWS)
+    got = language_model.score_texts(docs).collect()
+    assert sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 2)) for r in got) == want
+    assert all(r.score < 0 and r.train_tokens == n for r in got)
