@@ -16,80 +16,136 @@ from .batches import by_bytes, column
 # Element names of HTML by their role.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-LEFT_OUT = frozenset("aside button canvas dialog footer form head iframe input menu nav noscript object script search select style svg template textarea title".split())
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+LEFT_OUT = frozenset("aside button canvas dialog footer head header iframe input menu nav noscript object script search select style svg template textarea title".split())
+FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
 CONTENT = frozenset("article main".split())
 #: Elements that the start of a like one, or of a block for a paragraph, ends.
 SELF_ENDING = frozenset("dd dt li option p td th tr".split())
 ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|banner|breadcrumbs?|comments?|cookies?|disqus|footer|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|popup|promo|promoted|related|replies|respond|share|sharing|sidebar|social|sponsor|sponsored|subscribe|toolbar|widget)(?:$|[\s_-])",
-    re.IGNORECASE,
-)
+# Words in the names of classes and ids of what is not the article, and words that can stand beside them without another meaning.
+NAMES = frozenset("ad ads advert adverts advertisement advertisements advertising banner breadcrumb breadcrumbs comment comments cookie cookies disqus footer masthead menu modal nav navbar navigation newsletter notice notices popup promo promoted related replies respond share sharing sidebar social sponsor sponsored subscribe toolbar widget widgets".split())
+BESIDE = frozenset("a and area articles bar bottom box block body btn button buttons center column consent container content email fixed form global google header holder icons inner item items left line link links list main media mobile module native news outer page panel posts primary region right row secondary section sign signup site slot stories sub text thread top unit up wrap wrapper".split())
+PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+[a-z]?[0-9]*")
+COMMENT_END = re.compile(r"--!?>|(?<=<!--)-?>")
 #: Standard deviation of the smoothing in blocks, and share of the page's mean ratio that a content cluster must reach.
 SIGMA, THRESHOLD = 1.0, 0.5
 
 
+def names_other_content(value: str) -> bool:
+    """True if one of the names in a class or id says that the element is no article text, as `ad`, `site-footer` or `shareButtons` do.
+
+    A name with any other word in it, as `social-history`, says nothing.
+    """
+    for name in value.split():
+        parts = [x.lower() for x in PARTS.findall(name)]
+        if any(x in NAMES for x in parts) and all(x in NAMES or x in BESIDE or x[0].isdigit() for x in parts):
+            return True
+    return False
+
+
 class Blocks(HTMLParser):
-    """Streams events into blocks: text, tags met in it, run number, and whether an article holds it."""
+    """Streams events into blocks: text, tags met in it, run number, whether an article holds it, and whether a form does."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool]] = []  # elements under way, and whether each is left out
         self.left_out = self.inside = 0
+        self.around: list[str] = []  # forms and articles under way
         self.text: list[str] = []
         self.tags = self.run = 0
-        self.blocks: list[tuple[str, int, int, bool]] = []
+        self.blocks: list[tuple[str, int, int, bool, bool]] = []
+
+    # Markup that is unfinished or odd ends with the next `>`, or with the page, and is no text, as in browsers.
+
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        end = COMMENT_END.search(self.rawdata, i + 4)
+        return end.end() if end else len(self.rawdata)
+
+    def parse_html_declaration(self, i: int) -> int:
+        end = self.rawdata.find(">", i)
+        return end + 1 if end >= 0 else len(self.rawdata)
+
+    def parse_pi(self, i: int) -> int:
+        end = self.rawdata.find(">", i)
+        return end + 1 if end >= 0 else len(self.rawdata)
+
+    def parse_starttag(self, i: int) -> int:
+        end = super().parse_starttag(i)
+        return end if end >= 0 else len(self.rawdata)
+
+    def parse_endtag(self, i: int) -> int:
+        if self.rawdata.find(">", i) < 0:
+            return len(self.rawdata)
+        end = super().parse_endtag(i)
+        return end if end >= 0 else len(self.rawdata)
+
+    def read(self, html: str) -> None:
+        """The whole page."""
+        self.rawdata = html
+        self.goahead(1)
+        self.flush()
 
     def flush(self) -> None:
         if self.text:
             if text := " ".join("".join(self.text).split()):
-                self.blocks.append((text, self.tags, self.run, self.inside > 0))
+                self.blocks.append((text, self.tags, self.run, self.inside > 0, bool(self.around) and self.around[-1] == "form"))
             self.text = []
             self.tags = 0
 
-    def pop(self) -> None:
-        name, left_out = self.open.pop()
+    def push(self, name: str, left_out: bool) -> None:
+        self.open.append((name, left_out))
+        self.left_out += left_out
+        if name in CONTENT:
+            self.inside += 1
+            self.run += 1
+        if name in CONTENT or name == "form":
+            self.around.append(name)
+
+    def remove(self, at: int) -> None:
+        name, left_out = self.open.pop(at)
         self.left_out -= left_out
         if name in CONTENT:
             self.inside -= 1
             self.run += 1
+        if name in CONTENT or name == "form":
+            last = len(self.around) - 1 - self.around[::-1].index(name)
+            del self.around[last]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
         if tag in BLOCKS:
             self.flush()
             while self.open and self.open[-1][0] in SELF_ENDING and (self.open[-1][0] == tag or self.open[-1][0] == "p" or {self.open[-1][0], tag} <= {"dd", "dt"}):
-                self.pop()
+                self.remove(-1)
         elif tag == "br":
             self.text.append(" ")
         if tag in VOID:
             return
-        left_out = tag in LEFT_OUT or tag == "header" and not self.inside
-        if attrs and not left_out and tag not in ("html", "body") and tag not in CONTENT:
+        left_out = tag in LEFT_OUT
+        if attrs and not left_out and tag not in ("html", "body", "form") and tag not in CONTENT:
             for name, value in attrs:
-                if name in ("class", "id") and value and NAMES.search(value) or name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
+                if name in ("class", "id") and value and names_other_content(value) or name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
                     left_out = True
-        if left_out:
-            if tag in BLOCKS and not self.left_out and not self.inside:
-                self.run += 1
-            self.left_out += 1
-        if tag in BLOCKS or left_out:
-            self.open.append((tag, left_out))
-            if tag in CONTENT:
-                self.inside += 1
-                self.run += 1
+        if left_out and tag in BLOCKS and not self.left_out and not self.inside:
+            self.run += 1
+        self.push(tag, left_out)
+
+    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self.handle_starttag(tag, attrs)  # the slash means nothing
 
     def handle_endtag(self, tag: str) -> None:
+        """Ends the last open element of the name with all in it; one for formatting ends alone, another inline one only inside its block."""
         self.tags += 1
         if tag in BLOCKS:
             self.flush()
-        elif not self.left_out:
-            return
-        if any(name == tag for name, _ in self.open):
-            while self.open[-1][0] != tag:
-                self.pop()
-            self.pop()
+        for at in range(len(self.open) - 1, -1, -1):
+            name = self.open[at][0]
+            if name == tag:
+                for _ in range(1 if tag in FORMATTING else len(self.open) - at):
+                    self.remove(at if tag in FORMATTING else -1)
+                return
+            if name in BLOCKS and tag not in BLOCKS and tag not in FORMATTING and tag not in LEFT_OUT:
+                return
 
     def handle_data(self, data: str) -> None:
         if not self.left_out:
@@ -110,27 +166,31 @@ def main_text(html: str | None, sigma: float = SIGMA, threshold: float = THRESHO
     Elements that are never article text are left out as the events arrive; outside an article they also end a run of
     blocks, and an article is a run of its own. The ratio of text to tags per block is smoothed; a run is content if it
     reaches `threshold` times the mean, and then all its blocks stay, short ones as well. Where the page marks an article,
-    only blocks inside one are candidates.
+    only blocks inside one are candidates. A form is left out unless an article stands in it or it holds most of the page's text.
     """
     if not html:
         return ""
     parser = Blocks()
-    parser.feed(html)
-    parser.close()
-    parser.flush()
-    blocks = parser.blocks
-    if any(inside for *_, inside in blocks):
+    parser.read(html)
+    blocks, free = parser.blocks, [b for b in parser.blocks if not b[4]]
+    if 2 * sum(len(b[0]) for b in free) >= sum(len(b[0]) for b in blocks):  # else a form holds the page
+        blocks = free
+    if any(b[3] for b in blocks):
         blocks = [b for b in blocks if b[3]]
     if not blocks:
         return ""
-    ratios = smoothed(np.array([len(text) / (tags + 1) for text, tags, _, _ in blocks]), sigma)
-    runs = np.array([run for _, _, run, _ in blocks])
+    ratios = smoothed(np.array([len(text) / (tags + 1) for text, tags, *_ in blocks]), sigma)
+    runs = np.array([b[2] for b in blocks])
     content = set(runs[ratios >= threshold * ratios.mean()].tolist())
-    return "\n".join(text for text, _, run, _ in blocks if run in content)
+    return "\n".join(b[0] for b in blocks if b[2] in content)
 
 
 def extract_text(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
-    """Columns `keep`, then text and n_chars (its code points); a null or empty page has the empty text. One row per row."""
+    """Columns `keep`, then text and n_chars (its code points); a null or empty page has the empty text. One row per row.
+
+    Repeated rows stay, pages of any length are parsed whole and alone if they are long, markup of any kind is read as browsers read it, and
+    other columns of pages don't matter, `text` and `n_chars` among them.
+    """
     fields = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
