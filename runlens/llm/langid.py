@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -15,10 +16,14 @@ from pyspark.sql import functions as F
 from .batches import by_bytes, column
 from .workspace import crc32_of_id
 
-LETTERS = re.compile(r"[^\W\d_]+")
+# Word characters that are neither letters nor decimal digits, such as fractions and Roman or circled numbers.
+_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+LETTERS = re.compile(rf"[^\W\d_{_NUMERALS}]+")
 UNKNOWN = "und"
 #: Bounds of the fitted model: labelled texts in the sample, known words, known character n-grams, and their length.
 SAMPLE_DOCS, MOST_WORDS, MOST_GRAMS, LONGEST_GRAM = 10_000, 100_000, 100_000, 5
+#: Words that count as evidence for a posterior at most.
+MOST_EVIDENCE = 10
 #: Unseen words whose scores a worker remembers.
 WORDS_KEPT = 200_000
 
@@ -48,8 +53,8 @@ class LanguageModel:
                 return self.gram_scores[rows].mean(axis=0)
         return np.zeros(len(self.languages))
 
-    def scores(self, text: str) -> np.ndarray | None:
-        """Sum of the word scores per language; None for a text without letters."""
+    def scores(self, text: str) -> tuple[np.ndarray, int] | None:
+        """Mean of the word scores per language and the number of words; None for a text without letters."""
         words = LETTERS.findall(text.lower())
         if not words or not self.languages:
             return None
@@ -68,14 +73,15 @@ class LanguageModel:
                 total += own
         if rows:
             total = total + self.word_scores[rows].sum(axis=0)
-        return total / len(words)
+        return total / len(words), len(words)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """A language and its posterior, with even priors and the evidence of a text weighted as that of ten words at most."""
-        mean = self.scores(text or "")
-        if mean is None:
+        found = self.scores(text or "")
+        if found is None:
             return UNKNOWN, 0.0
-        weight = np.exp((mean - mean.max()) * 10)
+        mean, words = found
+        weight = np.exp((mean - mean.max()) * min(words, MOST_EVIDENCE))
         weight /= weight.sum()
         best = int(weight.argmax())
         return self.languages[best], float(weight[best])
