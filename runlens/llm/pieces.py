@@ -1,8 +1,9 @@
 """SentencePiece encoding and decoding by a shared-prefix Viterbi pass (operator 10).
 
 The distinct marked words of a batch are sorted, which lays them out as a trie in depth-first order: a word shares with
-its predecessor the nodes of their common prefix. Every node holds its forward state, the last piece of the best
-segmentation that ends there, so only the nodes below the common prefix are computed.
+its predecessor the nodes of their common prefix. Every node holds its forward state: the last piece of the best
+segmentation that ends there, and the pieces under way, as places in the trie of all pieces. Only the nodes below the common
+prefix are computed, each by one step from the node above it; nothing before them is read again.
 
 The public model is of the BPE kind. The sum of piece scores, which plain Viterbi maximises, does not give that
 model's pieces. The recurrence therefore takes, among the pieces that end at a node, the one that BPE merging leaves next to
@@ -35,7 +36,6 @@ class PieceModel:
     """Vocabulary of a SentencePiece BPE model with byte fallback, with its segmentation and its inverse."""
 
     def __init__(self, path: str):
-        import ahocorasick
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -60,11 +60,13 @@ class PieceModel:
         self.pairs: dict[int, bool] = {}
         #: Pieces that merging really reaches from their characters; only these can stand in a result.
         self.reached = {p for p in self.ids if len(p) == 1 or self.merged(p) == [p]}
-        #: Finds all those pieces in a word, by their end and the longest first; and their lengths by id.
-        self.finder = ahocorasick.Automaton()
-        for piece in self.reached:
-            self.finder.add_word(piece, self.ids[piece])
-        self.finder.make_automaton()
+        #: Trie of those pieces: a place is the dict of the places below it by character, with the piece's id under "".
+        self.root: dict = {}
+        for piece in sorted(self.reached):
+            place = self.root
+            for c in piece:
+                place = place.setdefault(c, {})
+            place[""] = self.ids[piece]
         self.length = [len(t) for t in texts]
         self.kept: dict[str, tuple[int, ...]] = {}
 
@@ -114,9 +116,10 @@ class PieceModel:
         that end at a node one only fits.
         """
         result: dict[str, tuple[int, ...]] = {}
-        pairs, together, length, find = self.pairs, self.together, self.length, self.finder.iter
-        before = ""  # the word whose nodes stand in `last`
-        last = [-1]
+        pairs, together, length, root = self.pairs, self.together, self.length, self.root
+        before = ""  # the word whose nodes stand in `last` and `active`
+        last: list[int] = [-1]
+        active: list[list[tuple[int, dict]]] = [[]]  # begin and place of each piece under way, the longest first
         for word in sorted(words):
             if word.startswith(MARK + MARK) or word[0] == "\n":
                 # Runs of marks have equal scores, where neighbours alone don't decide; line feeds are bytes.
@@ -125,10 +128,17 @@ class PieceModel:
             common, most = 0, min(len(before), len(word))
             while common < most and before[common] == word[common]:
                 common += 1
-            last[common + 1 :] = [-1] * (len(word) - common)
-            for end, piece in find(word):
-                if end >= common and last[end + 1] < 0:
-                    begin = end + 1 - length[piece]
+            del last[common + 1 :], active[common + 1 :]
+            for at in range(common, len(word)):
+                c, on, chosen = word[at], [], -1
+                for begin, place in (*active[at], (at, root)):
+                    place = place.get(c)
+                    if place is None:
+                        continue
+                    on.append((begin, place))
+                    piece = place.get("")
+                    if piece is None or chosen >= 0:
+                        continue
                     left = last[begin]
                     if left >= 0:
                         fits = pairs.get(left << 32 | piece)
@@ -136,7 +146,9 @@ class PieceModel:
                             fits = together(left, piece)
                         if not fits:
                             continue
-                    last[end + 1] = piece
+                    chosen = piece
+                active.append(on)
+                last.append(chosen)
             before = word
             at, back = len(word), []
             while at:
