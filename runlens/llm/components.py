@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from .workspace import Workspace
 
-#: Bits of the fixed-size filter over ids (2**FILTER_BITS; 1 MB).
-FILTER_BITS = 23
+#: Bits of the filter over ids: 2**FILTER_BITS (1 MB) at least, 2**MOST_FILTER_BITS (64 MB) at most.
+FILTER_BITS, MOST_FILTER_BITS = 23, 29
 #: Rows of a written table up to which it is sent to all tasks; more are joined by a shuffle.
 MOST_SENT = 1_000_000
-#: Parts of a hot bucket.
-PARTS = 32
+#: Parts of a hot bucket; members of a block where members of a bucket meet each other.
+PARTS, BLOCK = 32, 512
 
 
 def connected_components(edges: DataFrame, work: Workspace) -> DataFrame:
@@ -54,18 +54,21 @@ def sent(kept: DataFrame, most: int = MOST_SENT) -> DataFrame:
     return F.broadcast(kept) if kept.count() <= most else kept
 
 
-def id_filter(ids: DataFrame, column: str, bits: int = FILTER_BITS) -> bytes:
-    """A bitmap over hashes of ids: of fixed size, whatever the number of ids; it has no false negatives.
+def id_filter(ids: DataFrame, column: str, hashed: bool = False) -> tuple[int, bytes]:
+    """A bitmap of 2**bits bits over ids, or their hashes unless they are hashes, and its bits; it has no false negatives.
 
-    One 64-bit word per row reaches the driver, 2**bits / 64 at most.
+    It grows with the number of ids, up to 2**MOST_FILTER_BITS bits; with still more ids it lets others pass as well, which the
+    join that follows takes out. One 64-bit word per row reaches the driver, 2**bits / 64 at most.
     """
-    at = F.pmod(F.xxhash64(column), F.lit(1 << bits))
-    words = ids.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64({column}), {1 << bits}) & 63 as int))")).alias("set")).toPandas()
     import numpy as np
 
+    bits = min(max(FILTER_BITS, ids.count().bit_length() + 4), MOST_FILTER_BITS)
+    at = F.pmod(F.col(column) if hashed else F.xxhash64(column), F.lit(1 << bits))
+    slots = ids.select(at.alias("slot")).distinct()
+    words = slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("set")).toArrow()
     table = np.zeros((1 << bits) // 64, np.int64)
-    table[words["word"].to_numpy(np.int64)] = words["set"].to_numpy(np.int64)
-    return table.tobytes()
+    table[words["word"].to_numpy()] = words["set"].to_numpy()
+    return bits, table.tobytes()
 
 
 def linked_components(spark: SparkSession, buckets: DataFrame, bounds: Callable, verify: Callable[[DataFrame], DataFrame], work: Workspace) -> DataFrame:
@@ -76,7 +79,7 @@ def linked_components(spark: SparkSession, buckets: DataFrame, bounds: Callable,
     pairs that are linked.
 
     First each member meets its bucket's least member only; a hot bucket is dealt to PARTS parts, whose least members meet
-    that of the bucket. A bucket whose members are then in one component has lost nothing: all of it is linked. In each
+    that of the bucket (`hot` need not be the same for all members of a bucket). A bucket whose members are then in one component has lost nothing: all of it is linked. In each
     other bucket, members of different components meet, under the bounds, and what is linked is added. So each pair of a
     bucket is either verified or in one component already, and the pairs of a large group of copies are never listed.
     """
@@ -85,8 +88,9 @@ def linked_components(spark: SparkSession, buckets: DataFrame, bounds: Callable,
     dealt = buckets.select("key", "hot", F.struct("node", *[c for c in others if c != "node"]).alias("x"), part.alias("part"))
     w = Window.partitionBy("key", "part")
     led = dealt.withColumns({"y": F.min("x").over(w), "size": F.count(F.lit(1)).over(w)}).where("size > 1 or hot")
-    met = work.keep(led.select("key", "hot", "x", "y"), "buckets")
-    heads = met.where(F.col("hot") & (F.col("x.node") == F.col("y.node"))).select("key", "x").distinct()
+    met = work.keep(led.select("key", "hot", "part", "x", "y"), "buckets")
+    dealt_keys = met.where("hot").select("key").distinct()
+    heads = met.where(F.col("x.node") == F.col("y.node")).join(dealt_keys, "key", "left_semi").select("key", "x").distinct()
     to_head = heads.join(heads.groupBy("key").agg(F.min("x").alias("y")), "key").select("x", "y")
     to_leader = met.select("x", "y").unionByName(to_head).where((F.col("x.node") != F.col("y.node")) & bounds(F.col("x"), F.col("y")))
     tried = work.keep(to_leader.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "to-leader")
@@ -104,8 +108,13 @@ def linked_components(spark: SparkSession, buckets: DataFrame, bounds: Callable,
     tried = work.keep(tried.unionByName(again), "tried")
     known = work.keep(connected_components(links, work), "head-components")
     rest = work.keep(with_roots(rest.drop("root"), sent(known)), "open-members")
-    left, right = rest.select("key", F.col("x"), F.col("root").alias("r")), rest.select("key", F.col("x").alias("y"), F.col("root").alias("s"))
-    cross = left.join(right, "key").where((F.col("r") < F.col("s")) & bounds(F.col("x"), F.col("y"))).select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
+    # Members of a large bucket are dealt to blocks, and each two blocks meet in a place of their own.
+    sizes = rest.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("key", "blocks")
+    placed = rest.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    left = placed.select("key", F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)).alias("j"), "x", F.col("root").alias("r"))
+    right = placed.select("key", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"), F.col("x").alias("y"), F.col("root").alias("s"))
+    unlike = F.when(F.col("i") == F.col("j"), F.col("r") < F.col("s")).otherwise(F.col("r") != F.col("s"))
+    cross = left.join(right, ["key", "i", "j"]).where(unlike & bounds(F.col("x"), F.col("y"))).select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
     fresh = work.keep(cross.join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"), "across")
     more = work.keep(verify(fresh), "across-links")
     if more.isEmpty():

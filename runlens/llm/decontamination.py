@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .line_dedup import distance, with_simhash, words_of
+from .simhash import distance, with_simhash, words_of
 from .workspace import Workspace
 
 #: Words of a shingle, least similarity in percent, and Hamming radius; at 75 % up to a seventh of the words can differ at an end.
