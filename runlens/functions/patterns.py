@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 # Class names of patterns and what Java calls them.
 CLASSES = {"alpha": "Alpha", "digit": "Digit", "alnum": "Alnum", "upper": "Upper", "lower": "Lower", "punct": "Punct", "space": "Space", "xdigit": "XDigit", "blank": "Blank", "cntrl": "Cntrl", "print": "Print", "graph": "Graph"}
+BEFORE_WORD, AFTER_WORD = "(?<![0-9A-Za-z_])", "(?![0-9A-Za-z_])"
 WORD_EDGE = r"(?:(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?![0-9A-Za-z_]))"
 
 
@@ -61,7 +62,7 @@ def line_regex(pattern: str, ignore_case: bool = False) -> str:
             elif two == r"\S" and not inside:
                 two = r"[^\t\n\f\r ]"
             elif two == r"\b" and not inside:
-                two = WORD_EDGE
+                two = _word_edge(parts, out[at + 2 :])
             parts.append(two)
             at += 2
             continue
@@ -71,6 +72,15 @@ def line_regex(pattern: str, ignore_case: bool = False) -> str:
     return ("(?diu)" if ignore_case else "(?d)") + "".join(parts)
 
 
+def _word_edge(before: list[str], after: str) -> str:
+    """An edge of a word; where a plain word character stands next to it, only the other side is looked at."""
+    if re.match(r"\w(?![*?{])", after, re.ASCII):
+        return BEFORE_WORD
+    if before and re.fullmatch(r"\w", before[-1], re.ASCII):
+        return AFTER_WORD
+    return WORD_EDGE
+
+
 def line_predicate(text: Column, pattern: str, fixed: bool = False, ignore_case: bool = False) -> Column:
     """True where a line holds the pattern. A fixed string that keeps case needs no expression engine."""
     if fixed:
@@ -85,8 +95,8 @@ def line_predicate(text: Column, pattern: str, fixed: bool = False, ignore_case:
 
 
 def required_literal(pattern: str) -> str:
-    """A literal that every match holds, for simple patterns only; else the empty string."""
-    if re.search(r"[|()?*\[{]|\(\?", pattern):
+    """A literal that every match holds, for simple patterns only; else the empty string. An escape of a letter or digit can take what follows it."""
+    if re.search(r"[|()?*\[{]|\\[0-9A-Za-z]", pattern):
         return ""
     runs = re.split(r"\\.|[.^$+]", pattern)
     # The character before + is in each match as well.

@@ -24,12 +24,11 @@ def artifact_action(expired: Column, size: Column, most: int) -> Column:
 
 
 def digest_sha256(digest: Column) -> Column:
-    """Struct of sha256 and malformed: 64 hex digits in lower case; empty for other algorithms or none."""
-    hex_ = F.regexp_extract(digest, r"^sha256:(.*)\z", 1)
-    good = hex_.rlike(r"^[0-9A-Fa-f]{64}\z")
-    is_sha, named = digest.startswith("sha256:"), digest.rlike("^[^:]+:")
-    malformed = F.coalesce((is_sha & ~good) | ((digest != "") & ~named), F.lit(False))
-    return F.struct(F.when(F.coalesce(is_sha & good, F.lit(False)), F.lower(hex_)).otherwise("").alias("sha256"), malformed.alias("malformed"))
+    """Struct of sha256 and malformed: 64 hex digits in lower case; empty for other algorithms or none. The algorithm's name has no case."""
+    text = F.coalesce(digest, F.lit(""))
+    hex_ = F.regexp_extract(text, r"(?i)^sha256:([0-9a-f]{64})\z", 1)
+    formed = text.rlike(r"^[a-zA-Z0-9]+:[0-9a-fA-F]+\z") & ~(text.rlike("(?i)^sha256:") & (hex_ == ""))
+    return F.struct(F.lower(hex_).alias("sha256"), ((text != "") & ~formed).alias("malformed"))
 
 
 def digest_holds(content: Column, sha256: Column) -> Column:

@@ -28,6 +28,12 @@ def carried_pending(previous: DataFrame, now: DataFrame, published: DataFrame, c
     return kept.join(published.select(*UNIT), UNIT, "left_anti").join(now.select(*UNIT), UNIT, "left_anti")
 
 
+def published_units(attempts: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """(repo, run_id, unit) of all that is on disk: `attempt n` and `artifact id`."""
+    first = attempts.select("repo", "run_id", F.concat(F.lit("attempt "), F.col("attempt").cast("string")).alias("unit"))
+    return first.unionByName(artifacts.select("repo", "run_id", F.concat(F.lit("artifact "), F.col("artifact_id").cast("string")).alias("unit")))
+
+
 def stuck(pending: DataFrame, repos: DataFrame, now: Column) -> DataFrame:
     """(repo, stuck, oldest): units pending for more than twice the interval."""
     late = pending.join(repos.select("repo", "sync_interval"), "repo").where(F.unix_micros(now) - F.unix_micros("since") > F.lit(2_000_000).cast("bigint") * F.col("sync_interval"))
@@ -70,6 +76,59 @@ def blocked_since(previous: DataFrame, cycle: DataFrame) -> DataFrame:
     return both.select("repo", kind.alias("kind"), since.alias("since"))
 
 
+MEASURED = ["runs", "attempts", "bytes", "newest_completed", "horizon"]
+
+
+def next_pending(previous: DataFrame, pending: DataFrame, published: DataFrame, completed: bool, finished: Column) -> DataFrame:
+    """(repo, run_id, unit, error, since) after a cycle: what it left, and what was pending before and it may have skipped."""
+    now = pending_since(pending, previous, finished)
+    return now.unionByName(carried_pending(previous, now, published, completed).select(*now.columns))
+
+
+def next_status(previous: DataFrame, cycle: DataFrame, measure: DataFrame, pending: DataFrame) -> DataFrame:
+    """A row per repository after a cycle; repositories are matched whatever the case of their names.
+
+    previous: repo, cycle, last_ok, kind, since, default_branch. cycle: repo, started, finished, completed, cancelled,
+    blocked_kind, default_branch, sync_interval, config_error. measure: repo and MEASURED. pending: as after the cycle.
+    """
+    key = F.lower("repo").alias("_key")
+    last = previous.select(key, F.col("cycle").alias("_cycle"), F.col("last_ok").alias("_ok"), F.col("default_branch").alias("_branch"), F.col("kind"), F.col("since"))
+    disk = measure.select(key, *MEASURED)
+    left = pending.groupBy(key).agg(F.count("*").alias("pending_units"))
+    both = cycle.withColumn("_key", F.lower("repo")).join(last, "_key", "left").join(disk, "_key", "left").join(left, "_key", "left")
+    kept = F.col("cancelled") & F.col("blocked_kind").isNull()
+    kind = F.when(F.col("completed"), None).when(kept, F.col("kind")).otherwise(F.col("blocked_kind"))
+    since = F.when(F.col("completed"), None).when(kept, F.col("since")).when(F.col("blocked_kind").isNotNull(), F.coalesce("since", "started"))
+    return both.select(
+        "repo",
+        (F.coalesce("_cycle", F.lit(0)) + 1).alias("cycle"),
+        "started",
+        "finished",
+        F.when(F.col("completed"), F.col("finished")).otherwise(F.col("_ok")).alias("last_ok"),
+        kind.alias("kind"),
+        since.alias("since"),
+        F.coalesce(F.nullif(F.col("default_branch"), F.lit("")), "_branch").alias("default_branch"),
+        "sync_interval",
+        "config_error",
+        F.coalesce("pending_units", F.lit(0)).alias("pending_units"),
+        *MEASURED,
+        lag_seconds(F.col("finished"), F.col("newest_completed")).alias("lag_seconds"),
+    )
+
+
+def remeasured(status: DataFrame, measure: DataFrame) -> DataFrame:
+    """Status rows with what repositories hold now; lag stays as of the last cycle's end. No repository is added."""
+    new = measure.select(F.lower("repo").alias("_key"), *MEASURED)
+    own = status.drop(*MEASURED, "lag_seconds").withColumn("_key", F.lower("repo")).join(new, "_key", "left").drop("_key")
+    return own.withColumn("lag_seconds", lag_seconds(F.col("finished"), F.col("newest_completed"))).select(*status.columns)
+
+
+def status_report(status: DataFrame, pending: DataFrame, now: Column) -> DataFrame:
+    """One row per repository: its status, the units that are stuck, and the warning that applies."""
+    told = status.withColumns({"synced_at": F.col("finished"), "blocked": F.col("kind")})
+    return freshness(told, pending, now).drop("synced_at", "blocked")
+
+
 def reconcile(on_disk: DataFrame, indexed: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, change) of runs whose units differ: changed, or removed if no unit is left. Units: keys, path, modified."""
     disk = on_disk.select(*keys, "path", F.col("modified").alias("now")).withColumn("here", F.lit(True))

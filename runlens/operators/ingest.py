@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Statuses of runs that are not over.
-NON_TERMINAL = ("queued", "in_progress", "requested", "waiting", "pending")
+NON_TERMINAL = ("in_progress", "queued", "requested", "waiting", "pending", "action_required")
+
+#: Days in which a run can be run again.
+RERUN_DAYS = 30
 
 
 def merge_listings(listings: list[DataFrame], keys: list[str], pos: str = "pos") -> DataFrame:
@@ -56,17 +59,78 @@ def unlisted(state: DataFrame, listed: DataFrame, keys: list[str]) -> DataFrame:
     return state.join(listed.select(*keys), keys, "left_anti")
 
 
+def pending_after(state: DataFrame, seen: DataFrame, left: DataFrame, keys: list[str]) -> DataFrame:
+    """Pending artifacts after some runs were looked at: what is left of those replaces what stood for them."""
+    return state.join(seen.select(*keys).distinct(), keys, "left_anti").unionByName(left.select(*state.columns))
+
+
+def pruned(state: DataFrame, cutoff: Column, horizons: DataFrame) -> DataFrame:
+    """A state table (repo, created_at, ...) without runs that retention removes or a horizon passes."""
+    both = state.join(horizons.select("repo", F.col("horizon").alias("_horizon")), "repo", "left")
+    gone = (F.to_date("created_at") < cutoff) | (F.col("created_at") <= F.col("_horizon"))
+    return both.where(~F.coalesce(gone, F.lit(False))).select(*state.columns)
+
+
+def rebuilt_pending(snapshots: DataFrame, on_disk: DataFrame, keys: list[str]) -> DataFrame:
+    """Pending artifacts from the attempts' listings alone, where the state is lost."""
+    none = snapshots.limit(0)
+    return retry_artifacts(none, none, snapshots, on_disk, keys)
+
+
 def publishable(jobs: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, complete): whether all jobs of an attempt are completed."""
     return jobs.groupBy(*keys).agg(F.bool_and(F.coalesce(F.col("status") == "completed", F.lit(False))).alias("complete"))
 
 
 def listing_windows(repos: DataFrame, now: Column) -> DataFrame:
-    """Per repository, the begin of its next listing: an hour before the last complete one, never before the oldest retained day."""
+    """Per repository, the begin of its next listing: the backfill's days ago, or an hour before the end of the last complete one if
+    that is earlier, never before the oldest retained day."""
     oldest = F.date_trunc("day", now - F.make_dt_interval(F.col("retention_days")))
     back = now - F.make_dt_interval(F.col("backfill_days"))
-    begin = F.greatest(oldest, F.coalesce(F.least(F.col("listed_until") - F.expr("interval 1 hour"), now), back))
-    return repos.withColumn("list_from", begin)
+    return repos.withColumn("list_from", F.greatest(oldest, F.least(back, F.col("listed_until") - F.expr("interval 1 hour"))))
+
+
+def rescan_windows(repos: DataFrame, now: Column) -> DataFrame:
+    """Repositories with rescan_from and rescan_to: runs that a re-run can still change and the backfill doesn't list.
+
+    Repositories whose backfill covers these are left out, and those rescanned less than an hour ago; a record from the future counts as none.
+    """
+    back = F.least(F.lit(RERUN_DAYS), F.col("retention_days"))
+    since = F.unix_micros(now) - F.unix_micros("rescanned_at")
+    due = repos.where((F.col("backfill_days") < back) & ~F.coalesce(since.between(0, 3_600_000_000 - 1), F.lit(False)))
+    return due.withColumns({"rescan_from": now - F.make_dt_interval(back), "rescan_to": now - F.make_dt_interval(F.col("backfill_days"))})
+
+
+def oldest_dates(windows: DataFrame, runs: DataFrame) -> DataFrame:
+    """(repo, oldest): the oldest date of runs on disk inside each repository's window; only those days' partitions count."""
+    met = runs.select("repo", "date_dir").join(windows.select("repo", "rescan_from", "rescan_to"), "repo")
+    inside = F.col("date_dir").between(F.to_date("rescan_from"), F.to_date("rescan_to"))
+    return met.where(inside).groupBy("repo").agg(F.min("date_dir").alias("oldest"))
+
+
+def same_repo(a: Column, b: Column) -> Column:
+    """True for one repository's name, whatever its case."""
+    return F.lower(a) == F.lower(b)
+
+
+def oldest_first(merged: DataFrame, id_: str = "run_id") -> DataFrame:
+    """Merged listings in the order in which runs are worked on."""
+    return merged.orderBy("created_at", id_)
+
+
+def discovery_set(windows: list[DataFrame], statuses: DataFrame, rescanned: DataFrame, watched: DataFrame, pending: DataFrame, cutoff: Column, horizons: DataFrame, runs: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(runs to look at, rejects) of a cycle, each run as the first source that names it tells it.
+
+    Sources in order: listings by creation, listings of runs that are not over, rescanned runs as far as they are on disk, watched
+    runs, and runs with pending artifacts. Statuses other than NON_TERMINAL ones say nothing and are left out.
+    """
+    live = statuses.where(F.col("status").isin(*NON_TERMINAL))
+    found, bad = discover([*windows, live.select(*windows[0].columns)], cutoff, horizons, keys)
+    columns = [c for c in windows[0].columns if c != "pos"]
+    listed = found.select(*columns)
+    for more in (rescan(rescanned, runs, keys), watched, pending):
+        listed = listed.unionByName(more.select(*columns).join(listed.select(*keys), keys, "left_anti"))
+    return listed, bad
 
 
 def check_pages(pages: DataFrame, items: str, id_: str = "id") -> tuple[DataFrame, DataFrame]:

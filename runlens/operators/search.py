@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.patterns import line_predicate
+from ..plans.filters import Filter
+from ..schema import Tables
+from .paths import paths
+from .where import describe
 
 #: Bytes in which a null byte marks a file as binary.
 BINARY_PREFIX = 8192
@@ -15,7 +19,7 @@ def lines(files: DataFrame, text: str = "text", keep: tuple[str, ...] = ("path",
     """(keep, line, text): lines from 1. A byte order mark at the start goes, a last line without a line feed counts, nothing
     follows the last line feed, and a file with a null byte near its start has no lines."""
     whole = F.regexp_replace(F.col(text), "^﻿", "")
-    binary = F.contains(F.substring(F.col(text), 1, BINARY_PREFIX), F.lit("\x00"))
+    binary = F.instr(F.substring(F.col(text).cast("binary"), 1, BINARY_PREFIX).cast("string"), "\x00") > 0
     split = F.split(whole, "\n", -1)
     own = F.when(F.element_at(split, -1) == "", F.slice(split, 1, F.size(split) - 1)).otherwise(split)
     return files.where(~binary).select(*keep, F.posexplode(own).alias("line", "text")).withColumn("line", F.col("line") + 1)
@@ -27,6 +31,30 @@ def grep(log_lines: DataFrame, pattern: str, fixed: bool = False, ignore_case: b
     return hits if within is None else hits.join(within.select(key).distinct(), key, "left_semi")
 
 
+def grep_units(tables: Tables, f: Filter, pattern: str, kinds: tuple[str, ...] | None = None, more_lines: DataFrame | None = None, fixed: bool = False, ignore_case: bool = False) -> DataFrame:
+    """Hits (path, line, text) in the files that a filter selects; without kinds in logs and extracted files.
+
+    Lines come from tables.log_lines and from more_lines (path, line, text), which holds those of extracted files or documents.
+    """
+    if kinds is not None and "artifact" in kinds:
+        raise ValueError("archives can't be searched; expand them first")
+    own = tables.log_lines.select("path", "line", "text")
+    own = own if more_lines is None else own.unionByName(more_lines.select("path", "line", "text"))
+    return grep(own, pattern, fixed, ignore_case, within=paths(tables, f, kinds))
+
+
+def enriched_hits(hits: DataFrame, tables: Tables) -> DataFrame:
+    """Hits with the run, attempt, job or artifact that each path names."""
+    return describe(hits, tables)
+
+
+def unreadable(wanted: DataFrame, log_lines: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, reason) of selected files that no lines were read from: those that went, and binary ones. Empty files have none."""
+    unread = wanted.select("path").distinct().join(log_lines.select("path").distinct(), "path", "left_anti")
+    sized = unread.join(files.groupBy("path").agg(F.max("length").alias("length")), "path", "left")
+    return sized.where("length is null or length > 0").select("path", F.when(F.col("length").isNull(), "missing").otherwise("binary").alias("reason"))
+
+
 def files_with_matches(hits: DataFrame, key: str = "path") -> DataFrame:
     """Each file with a hit, once."""
     return hits.select(key).distinct()
@@ -68,10 +96,10 @@ def observed(hits: DataFrame, name: str = "search") -> tuple[DataFrame, Observat
 def verified(parsed: DataFrame, log_lines: DataFrame, key: str = "path") -> DataFrame:
     """Hits (key, line, text) as verified_line: their line if it holds the text, else the first line of the file that does,
     else null."""
-    numbered = parsed.withColumn("hit", F.monotonically_increasing_id())
     own = log_lines.select(key, F.col("line").alias("at"), F.col("text").alias("found"))
-    places = numbered.join(own, key).where(F.contains("found", F.col("text"))).groupBy("hit").agg(F.min(F.struct(F.col("at") != F.col("line"), "at")).alias("best"))
-    return numbered.join(places, "hit", "left").withColumn("verified_line", F.col("best.at")).drop("hit", "best")
+    asked = parsed.select(key, "line", "text").distinct()
+    places = asked.join(own, key).where(F.contains("found", F.col("text"))).groupBy(key, "line", "text").agg(F.min(F.struct(F.col("at") != F.col("line"), "at")).alias("best"))
+    return parsed.join(places, [key, "line", "text"], "left").withColumn("verified_line", F.col("best.at")).drop("best")
 
 
 def number_text_blocks(blocks: DataFrame, key: str = "path", block: str = "block", order: str = "order") -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import datetime, timedelta
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,15 +44,26 @@ def is_in(df: DataFrame, column: str, values: tuple) -> DataFrame:
     return df.join(wanted, column, "left_semi")
 
 
+def holding(runs: DataFrame, values: Column, wanted: list, kind: str) -> DataFrame:
+    """Runs of which one of an array of values is wanted; many wanted ones are joined."""
+    if len(wanted) <= MOST_LITERALS:
+        return runs.where(F.arrays_overlap(values, F.lit(wanted).cast(f"array<{kind}>")))
+    asked = runs.sparkSession.createDataFrame([(v,) for v in wanted], f"value {kind}")
+    found = runs.select(*RUN, F.explode(values).alias("value")).join(asked, "value", "left_semi").select(*RUN).distinct()
+    return runs.join(found, RUN, "left_semi")
+
+
 def of_runs(runs: DataFrame, f: Filter, all_runs: DataFrame | None = None) -> DataFrame:
     """Runs that the fields about runs select. A branch never selects a run from a fork; a workflow's name selects its
     id under whatever name; a commit's beginning is compared without ASCII case."""
     if f.branches:
         runs = is_in(runs.where(~F.col("from_fork")), "head_branch", f.branches)
     if f.shas:
-        runs = runs.where(reduce(lambda a, b: a | b, [F.lower("head_sha").startswith(s.lower()) for s in f.shas]))
+        shas = sorted({s.lower() for s in f.shas})
+        beginnings = F.transform(F.array(*[F.lit(n) for n in sorted({len(s) for s in shas})]), lambda n: F.lower(F.col("head_sha")).substr(F.lit(1), n))
+        runs = holding(runs, F.array_distinct(beginnings), shas, "string")
     if f.prs:
-        runs = runs.where(F.arrays_overlap("pr_numbers", F.array(*[F.lit(int(n)) for n in sorted(set(f.prs))])))
+        runs = holding(runs, F.col("pr_numbers"), sorted({int(n) for n in f.prs}), "int")
     if f.workflows:
         named = is_in(all_runs if all_runs is not None else runs, "workflow_name", f.workflows).select("host", "repo", "workflow_id").distinct()
         runs = runs.join(named, ["host", "repo", "workflow_id"], "left_semi")

@@ -254,6 +254,15 @@ def Q4_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flakes.findings(ci_tables(spark, sf_dir), Filter(branches=("main",))).groupBy("kind", "job").agg(F.count("*").alias("n"))
 
 
+ORACLE_SQL["Q4_findings"] = with_views(
+    "SELECT * FROM (WITH " + _SEEN.strip()[1:] + """
+SELECT 'rerun' AS kind, f.job, count(*) AS n FROM (SELECT run_id, job, step FROM outcome WHERE outcome IS NOT NULL GROUP BY ALL HAVING bool_or(outcome = 'success') AND bool_or(outcome <> 'success')) f
+  JOIN ci_runs r ON r.run_id = f.run_id WHERE r.head_branch = 'main' AND NOT r.from_fork GROUP BY ALL)
+UNION ALL SELECT * FROM (WITH """ + _SERIES.strip()[1:] + """
+SELECT 'intermittent' AS kind, job, count(*) AS n FROM around WHERE conclusion NOT IN ('success', '') AND b = 'success' AND a = 'success' GROUP BY ALL)"""
+)
+
+
 @query("SELECT kind, conclusion, count(*) AS n FROM ci_jobs GROUP BY ALL")
 def A14_kind_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jobs by kind and conclusion."""
@@ -272,10 +281,10 @@ def A19_attempts_per_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SLUG = "CASE WHEN regexp_replace(regexp_replace(regexp_replace({0}, '[^A-Za-z0-9.]+', '-', 'g'), '^[-.]+|[-.]+$', '', 'g')[1:60], '[-.]+$', '') = '' THEN 'none' ELSE regexp_replace(regexp_replace(regexp_replace({0}, '[^A-Za-z0-9.]+', '-', 'g'), '^[-.]+|[-.]+$', '', 'g')[1:60], '[-.]+$', '') END"
 
 
-@query(f"SELECT doc_id, {_SLUG.format('text[1:90]')} AS slug FROM documents")
+@query(f"SELECT doc_id, {_SLUG.format('text')} AS slug FROM documents")
 def N1_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slugs of the beginnings of documents."""
-    return _table(spark, sf_dir, "documents").select("doc_id", names.slug(F.substring("text", 1, 90)).alias("slug"))
+    """Slugs of documents."""
+    return _table(spark, sf_dir, "documents").select("doc_id", names.slug(F.col("text")).alias("slug"))
 
 
 @query("SELECT job_id, run_id AS p_run, attempt AS p_attempt, job_id AS p_job, repo AS p_repo, 'log.txt' AS p_file FROM ci_jobs")
@@ -410,9 +419,10 @@ def J10_J11_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL["J10_J11_attribution"] = with_views("""
-, known AS (SELECT *, lag(attempt) OVER w AS prev, lead(attempt) OVER w AS nxt, lead(run_started_at) OVER w AS until FROM ci_attempts WINDOW w AS (PARTITION BY run_id ORDER BY attempt)),
-a AS (SELECT f.run_id, f.artifact_id, CASE WHEN f.run_id % 2 = 0 AND k.prev = k.attempt - 1 THEN k.attempt END AS l FROM ci_artifacts f JOIN known k ON k.run_id = f.run_id AND k.attempt = f.made_in),
-t AS (SELECT f.run_id, f.artifact_id, max(k.attempt) AS t FROM ci_artifacts f JOIN known k ON k.run_id = f.run_id AND f.created_at >= k.run_started_at AND (k.nxt IS NULL OR (k.nxt = k.attempt + 1 AND f.created_at < k.until)) GROUP BY ALL)
+, arts AS MATERIALIZED (SELECT run_id, artifact_id, created_at, made_in FROM ci_artifacts),
+known AS MATERIALIZED (SELECT run_id, attempt, run_started_at, lag(attempt) OVER w AS prev, lead(attempt) OVER w AS nxt, lead(run_started_at) OVER w AS until FROM ci_attempts WINDOW w AS (PARTITION BY run_id ORDER BY attempt)),
+a AS (SELECT f.run_id, f.artifact_id, CASE WHEN f.run_id % 2 = 0 AND k.prev = k.attempt - 1 THEN k.attempt END AS l FROM arts f JOIN known k ON k.run_id = f.run_id AND k.attempt = f.made_in),
+t AS (SELECT f.run_id, f.artifact_id, max(k.attempt) AS t FROM arts f JOIN known k ON k.run_id = f.run_id AND f.created_at >= k.run_started_at AND (k.nxt IS NULL OR (k.nxt = k.attempt + 1 AND f.created_at < k.until)) GROUP BY ALL)
 SELECT a.run_id, a.artifact_id, coalesce(a.l, t.t) AS attributed_attempt, CASE WHEN a.l IS NOT NULL THEN 'listing-diff' WHEN t.t IS NOT NULL THEN 'timestamp' ELSE 'unknown' END AS attribution
 FROM a LEFT JOIN t ON t.run_id = a.run_id AND t.artifact_id = a.artifact_id""")
 

@@ -2,32 +2,64 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.names import quoted, short_sha, time_text
 from ..schema import FORMAT_VERSION, RUN
 
 
+def _file_system(spark: SparkSession, path: str) -> tuple[object, object]:
+    """Hadoop's path and its file system."""
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return own, own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """True if the path is there, in any store that Spark reads."""
+    own, store = _file_system(spark, path)
+    return store.exists(own)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a path with all below it."""
+    own, store = _file_system(spark, path)
+    store.delete(own, True)
+
+
 def replace_runs(new: DataFrame, path: str, runs: DataFrame, gone: DataFrame | None = None) -> None:
     """Writes rows of re-derived runs over a table partitioned by date_dir; rows of other runs of the same days stay.
 
     runs: keys and date_dir of all runs derived anew; gone: of runs to drop. Only the days touched are written, each as a
-    whole, so a failure leaves the old days.
+    whole and from a staged copy, so a failure leaves the old days; then the days go that have no rows left.
     """
     spark = new.sparkSession
     touched = runs.select(*RUN, "date_dir") if gone is None else runs.select(*RUN, "date_dir").unionByName(gone.select(*RUN, "date_dir"))
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    here = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm_path)
-    if not here:
+    if not exists(spark, path):
         new.withColumn("format_version", F.lit(FORMAT_VERSION)).write.partitionBy("date_dir").parquet(path)
         return
     old = spark.read.parquet(path).withColumn("date_dir", F.col("date_dir").cast("date"))
-    days = touched.select("date_dir").distinct()
-    stay = old.join(days, "date_dir", "left_semi").join(touched.select(*RUN).distinct(), RUN, "left_anti")
+    touched_runs = touched.select(*RUN).distinct()
+    # A run can have moved to another day: its old day is touched as well.
+    days = touched.select("date_dir").unionByName(old.join(touched_runs, RUN, "left_semi").select("date_dir")).distinct()
+    stay = old.join(days, "date_dir", "left_semi").join(touched_runs, RUN, "left_anti")
     all_rows = stay.unionByName(new.withColumn("format_version", F.lit(FORMAT_VERSION)), allowMissingColumns=True)
     staged = path.rstrip("/") + "-staged"
     all_rows.write.mode("overwrite").parquet(staged)
-    spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date_dir").parquet(path)
+    written = spark.read.schema(all_rows.schema).parquet(staged)
+    emptied = [r["date_dir"] for r in days.join(written.select("date_dir").distinct(), "date_dir", "left_anti").collect()]  # days touched at most
+    written.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date_dir").parquet(path)
+    for day in emptied:
+        drop(spark, f"{path.rstrip('/')}/date_dir={day}")
+    drop(spark, staged)
+
+
+def same_format(spark: SparkSession, path: str) -> bool:
+    """True if a table is there and all its rows have this format; otherwise it must be built from the files again."""
+    if not exists(spark, path):
+        return False
+    old = spark.read.parquet(path)
+    return "format_version" in old.columns and old.where(F.col("format_version").isNull() | (F.col("format_version") != FORMAT_VERSION)).isEmpty()
 
 
 def json_lines(findings: DataFrame, path: str | None = None) -> DataFrame:
@@ -41,9 +73,15 @@ def json_lines(findings: DataFrame, path: str | None = None) -> DataFrame:
 def flip_text(flips: DataFrame) -> DataFrame:
     """One line a flip: run, short commit, quoted job and step, outcomes."""
     told = F.array_join(F.transform("outcomes", lambda x: F.concat(x["attempt"], F.lit(":"), x["conclusion"])), " ")
-    quoted = lambda c: F.concat(F.lit('"'), F.regexp_replace(c, r'(["\\])', r"\\$1"), F.lit('"'))
-    name = F.when(F.col("step") == "", quoted("job")).otherwise(F.concat_ws(" / ", quoted("job"), quoted("step")))
-    return flips.select(F.concat_ws(" ", F.col("run_id").cast("string"), F.substring("head_sha", 1, 7), name, told).alias("value"))
+    name = F.when(F.col("step") == "", quoted(F.col("job"))).otherwise(F.concat_ws(" / ", quoted(F.col("job")), quoted(F.col("step"))))
+    return flips.select(F.concat_ws(" ", F.col("run_id").cast("string"), short_sha(F.col("head_sha")), name, told).alias("value"))
+
+
+def intermittent_text(found: DataFrame) -> DataFrame:
+    """One line a failure alone between successes: its start, run, quoted workflow, job and step, conclusion, and the runs of the series."""
+    each = found.select("workflow_name", "job", "step", "runs", F.explode("failures").alias("x"))
+    name = F.concat_ws(" / ", quoted(F.col("workflow_name")), quoted(F.col("job")), F.when(F.col("step") != "", quoted(F.col("step"))))
+    return each.select(F.concat_ws(" ", time_text(F.col("x.start")), F.col("x.run_id").cast("string"), name, F.col("x.conclusion"), F.concat(F.lit("1/"), F.col("runs").cast("string"))).alias("value"))
 
 
 def hit_text(hits: DataFrame) -> DataFrame:

@@ -67,16 +67,6 @@ def units(files: DataFrame) -> DataFrame:
     return files.withColumn("unit", unit).where("unit is not null").groupBy(*RUN, F.col("unit").alias("path")).agg(F.max("modified").alias("modified"))
 
 
-def extracted_files(files: DataFrame) -> DataFrame:
-    """Files below extracted trees but the manifest at their top."""
-    return files.where(F.col("artifact_id").isNotNull() & F.col("file").startswith("extracted/") & (F.col("file") != "extracted/.lg-extract.json"))
-
-
-def run_json(files: DataFrame) -> DataFrame:
-    """JSON documents of runs outside extracted trees."""
-    return files.where(F.col("path").endswith(".json") & ~(F.col("artifact_id").isNotNull() & F.col("file").startswith("extracted/")))
-
-
 def tombstones(spark: SparkSession, root: str) -> DataFrame:
     """(path, target, reason, http_status, tombstoned_at) of lost files; path is the file that will not come."""
     read = _json(spark, root, "*.tombstone", TOMBSTONE_JSON)

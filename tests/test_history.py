@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from runlens import queries
+from runlens import queries, state_queries  # noqa: F401
 from runlens.functions import names, patterns
 from runlens.operators import archives, derive, flakes, freshness, ingest, retention, search, where
 from runlens.schema import Tables
@@ -23,7 +23,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", ["F4_workflows", "F7_job_globs", "Q1_U1_paths", "Q2_A2_rerun_flips", "Q3_W1_W2_intermittent", "G1_G4_regex", "J9_match_original", "J10_J11_attribution", "Q8_R1_R4_retention", "A12_stuck_units", "J20_reconcile"])
+@pytest.mark.parametrize("name", ["F4_workflows", "F7_job_globs", "Q1_U1_paths", "Q2_A2_rerun_flips", "Q3_W1_W2_intermittent", "G1_G4_regex", "J9_match_original", "J10_J11_attribution", "Q8_R1_R4_retention", "A12_stuck_units", "J20_reconcile", "Q5_N9_J13_where", "N24_G12_place_hits", "F13_many_shas", "F13_many_prs", "P8_P9_digests", "R2_evicted_trees", "N17_T5_listing_windows", "T8_T9_discovery", "Q7_T12_T14_status", "Q1_extracted_and_run_files", "Q4_findings"])
 def test_query_equals_sql(spark, duck, name):
     df = queries.QUERIES[name](spark, SF)
     c = duck.execute(queries.ORACLE_SQL[name])
@@ -157,6 +157,78 @@ def test_hits(spark):
     assert got == {"a/b:1.txt:7:text: more": ("a/b:1.txt", 7, "text: more"), "a/b-3-ctx": ("a/b", 3, "ctx"), "a/b": ("a/b", None, None), "zzz:1:x": (None, None, None)}
 
 
+def test_hits_at_the_longest_path(spark):
+    cases = [
+        ("d:x/log.txt:123:text: more", ["d:x/log.txt"], ("d:x/log.txt", 123, "text: more")),
+        ("d:x/log.txt:text: 12: more", ["d:x/log.txt"], ("d:x/log.txt", None, "text: 12: more")),
+        ("d/log.txt:2231", ["d/log.txt"], ("d/log.txt", 2231, "")),
+        ("p-q-12-", ["p", "p-q"], ("p-q", 12, "")),
+        ("p-q-x", ["p"], ("p", None, "q-x")),
+        ("p-12", ["p"], ("p", None, "12")),
+        ("p:012:x", ["p"], ("p", None, "012:x")),
+        ("p:+12", ["p"], ("p", None, "+12")),
+        ("p:0:x", ["p"], ("p", None, "0:x")),
+        ("p:12x:y", ["p"], ("p", None, "12x:y")),
+        (":1:x", [], (None, None, None)),
+        ("dir/:1:x", ["dir/"], (None, None, None)),
+        ("q" * 4095 + ":1:x", ["q" * 4095], ("q" * 4095, 1, "x")),
+        ("r" * 4096 + ":1:x", ["r" * 4096], (None, None, None)),
+    ]
+    for i, (hit, paths, want) in enumerate(cases):
+        known = spark.createDataFrame([(p, p.endswith("/")) for p in paths], "path string, is_dir boolean")
+        got = where.parse_hits(spark.createDataFrame([(hit,)], "hit string"), known).first()
+        assert (got.path, got.line, got.text) == want, i
+
+
+def test_output_of_a_search_tool(spark):
+    rows = [("a:1:x\r",), ("--",), ("  ",), ('a/b: binary file matches (found "\\0" byte around offset 7)',), ("",)]
+    hits = where.hit_lines(spark.createDataFrame(rows, "hit string"))
+    assert {r.hit for r in hits.collect()} == {"a:1:x", rows[3][0]}
+    known = spark.createDataFrame([("a/b",)], "path string")
+    assert [r.path for r in where.binary_notices(hits, known).collect()] == ["a/b"]
+
+
+def test_rows_of_gone_runs_leave_the_table(spark, tmp_path):
+    from runlens.schema import RUN
+    from runlens.sources import sinks
+
+    row = lambda i, d: ("h", "r", i, d)
+    df = lambda rows: spark.createDataFrame(rows, "host string, repo string, run_id bigint, date_dir string").withColumn("date_dir", F.col("date_dir").cast("date"))
+    path = str(tmp_path / "runs")
+    first = df([row(1, "2026-01-01"), row(2, "2026-01-02"), row(3, "2026-01-02")])
+    sinks.replace_runs(first, path, first)
+    sinks.replace_runs(df([]), path, df([]), gone=df([row(1, "2026-01-01")]))
+    held = lambda: sorted((r.run_id, str(r.date_dir)) for r in spark.read.parquet(path).select(*RUN, "date_dir").collect())
+    assert held() == [(2, "2026-01-02"), (3, "2026-01-02")]
+    moved = df([row(2, "2026-01-05")])
+    sinks.replace_runs(moved, path, moved)
+    assert held() == [(2, "2026-01-05"), (3, "2026-01-02")]
+    assert sinks.same_format(spark, path) and not sinks.same_format(spark, path + "-none") and not sinks.exists(spark, path + "-staged")
+
+
+def test_literals_and_word_edges(spark):
+    cases = [(r"\x41bcd", "xABCDAbcd", True), (r"\bthe\b", "see the end", True), (r"\bthe\b", "then", False), (r"x*\bab", "ab", True), (r"a?\b-", "a-", True), (r"\p{Lu}abc", "Xabc", True), (r"\Qa.b\E", "a.b", True)]
+    for pattern, text, fits in cases:
+        assert spark.range(1).select(patterns.line_predicate(F.lit(text), pattern)).first()[0] is fits, pattern
+    assert patterns.required_literal("error: no+such") == "error: no" and patterns.required_literal(r"\x41bcd") == ""
+
+
+def test_retention_is_written_horizons_first(spark, tmp_path):
+    from datetime import date
+
+    rows = [("r", i, f"d{i}", f"2026-01-0{i}", 10) for i in range(1, 5)]
+    runs = spark.createDataFrame(rows, "repo string, run_id bigint, dir string, date_dir string, bytes bigint").withColumns({"date_dir": F.col("date_dir").cast("date"), "created_at": F.col("date_dir").cast("timestamp")})
+    trees = spark.createDataFrame([("r", 3, "d3", t, 2) for t in ("x", "y", "z")], "repo string, run_id bigint, dir string, tree string, tree_bytes bigint")
+    victims = retention.plan_retention(runs, date(2026, 1, 2), 27, trees=trees)
+    assert sorted((r.phase, r.run_id, r.tree) for r in victims.collect()) == [(1, 1, None), (2, 3, "x"), (2, 3, "y")]
+    assert retention.past_cap(victims).first().trees == 2
+    victims = retention.plan_retention(runs, date(2026, 1, 2), 15, trees=trees)
+    written = retention.execute(runs, victims, None, {"runs": runs}, str(tmp_path))
+    # 24 bytes are left without the trees; one run of 10 goes.
+    assert sorted(r.run_id for r in written["runs"].collect()) == [3, 4]
+    assert str(written["horizons"].first().horizon) == "2026-01-02 00:00:00"
+
+
 def test_retention_rules(spark):
     rows = [("r", i, f"d{i}", f"2026-01-0{i}", 10, 4 if i < 4 else 0) for i in range(1, 7)]
     runs = spark.createDataFrame(rows, "repo string, run_id bigint, dir string, date_dir string, bytes bigint, extracted_bytes bigint").withColumns({"date_dir": F.col("date_dir").cast("date"), "created_at": F.col("date_dir").cast("timestamp")})
