@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import io
 import posixpath
+import re
 import stat
 import tarfile
 import unicodedata
 import zipfile
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -27,18 +29,39 @@ class Limits:
     nesting: int = 8
 
 
-MEMBER = "path string, inner_path string, archive string, status string, reason string, bytes bigint, content binary"
+# Bytes of a name and of a path, and parts of a path, at most.
+MOST_NAME, MOST_PATH, MOST_PARTS = 200, 512, 32
+MEMBER = "path string, inner_path string, archive string, name string, status string, reason string, note string, bytes bigint, content binary"
 _NAMES = [x.split(" ")[0] for x in MEMBER.split(", ")]
 
 
-def _safe_parts(name: str) -> tuple[list[str], str]:
-    """Parts of a member's name, or why it has none."""
+def _slug(name: str) -> str:
+    """As functions.names.slug, for one name."""
+    return re.sub("[-.]+$", "", re.sub("^[-.]+|[-.]+$", "", re.sub("[^A-Za-z0-9.]+", "-", name))[:60]) or "none"
+
+
+def _safe_parts(name: str) -> tuple[list[str], str, str]:
+    """Parts of a member's name, why it has none, and why they differ from the name."""
     if name.startswith(("/", "\\")) or name[1:3] in (":\\", ":/"):
-        return [], "absolute"
+        return [], "absolute", ""
     parts = [p for p in posixpath.normpath(name.replace("\\", "/")).split("/") if p not in ("", ".")]
-    if ".." in parts:
-        return [], "outside"
-    return ["".join(c if unicodedata.category(c)[0] != "C" else "_" for c in p)[:200] for p in parts], "" if parts else "outside"
+    if ".." in parts or not parts:
+        return [], "outside", ""
+    note = "" if "/".join(parts) == name else "normalized"
+    for i, part in enumerate(parts):
+        if any(unicodedata.category(c)[0] == "C" for c in part):
+            parts[i], note = _slug(part), note or "invalid"
+        elif len(part.encode("utf-8", "replace")) > MOST_NAME:
+            parts[i], note = _slug(part), note or "too_long"
+    if len(parts) > MOST_PARTS:
+        parts, note = [*parts[: MOST_PARTS - 1], _slug("/".join(parts[MOST_PARTS - 1 :]))], note or "too_deep"
+    size = lambda own: len("/".join(own).encode("utf-8", "replace"))
+    if size(parts) > MOST_PATH:
+        keep = len(parts) - 1
+        while keep and size(parts[:keep]) + 61 > MOST_PATH:
+            keep -= 1
+        parts, note = [*parts[:keep], _slug("/".join(parts[keep:]))], note or "too_long"
+    return parts, "", note
 
 
 class _Names:
@@ -61,56 +84,68 @@ class _Names:
         return given
 
 
-def _zip_members(content: bytes) -> Iterator[tuple[str, str, bytes]]:
+def _zip_members(content: bytes) -> Iterator[tuple[str, str, int, Callable[[int], bytes]]]:
+    """Name, why it is left out, mode, and a reader of so many bytes at most of each member."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         for info in z.infolist():
             mode = info.external_attr >> 16
             if info.is_dir():
                 if info.file_size:
-                    yield info.filename, "dir_with_data", b""
+                    yield info.filename, "dir_with_data", mode, lambda n: b""
             elif stat.S_ISLNK(mode):
-                yield info.filename, "symlink", b""
+                yield info.filename, "symlink", mode, lambda n: b""
             elif mode and not stat.S_ISREG(mode) and stat.S_IFMT(mode):
-                yield info.filename, "special", b""
+                yield info.filename, "special", mode, lambda n: b""
             else:
-                try:
-                    yield info.filename, "", z.read(info)
-                except (zipfile.BadZipFile, ValueError, OSError, NotImplementedError, RuntimeError):
-                    yield info.filename, "corrupt", b""
 
+                def read(n: int, info: zipfile.ZipInfo = info) -> bytes:
+                    with z.open(info) as f:
+                        return f.read(n)
 
-def _tar_members(content: bytes) -> Iterator[tuple[str, str, bytes]]:
+                yield info.filename, "", mode, read
+
+
+def _tar_members(content: bytes) -> Iterator[tuple[str, str, int, Callable[[int], bytes]]]:
     with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as t:
         for info in t:
             why = "symlink" if info.issym() else "hardlink" if info.islnk() else "device" if info.ischr() or info.isblk() else "fifo" if info.isfifo() else ""
-            if info.isdir():
-                continue
-            yield info.name, why if why or info.isreg() else "special", b"" if why else (t.extractfile(info) or io.BytesIO()).read()
+            if not info.isdir():
+                yield info.name, why if why or info.isreg() else "special", info.mode, lambda n, info=info: (t.extractfile(info) or io.BytesIO()).read(n)
 
 
 def _expand(path: str, archive: str, content: bytes, limits: Limits) -> Iterator[tuple]:
-    """Rows of one archive; a broken one is one row."""
+    """Rows of one archive, as its members are read; a broken one ends with a row that says so.
+
+    No member is read beyond the bytes that are left, so what a small archive unpacks to doesn't matter.
+    """
     names, total, files = _Names(), 0, 0
-    rows = []
     try:
-        for name, why, data in _zip_members(content) if content[:4] == b"PK\x03\x04" else _tar_members(content):
-            parts, bad = _safe_parts(name)
-            why = why or bad
-            if why:
-                rows.append((path, name, archive, "skipped", why, 0, None))
+        for name, why, mode, read in _zip_members(content) if content[:4] == b"PK\x03\x04" else _tar_members(content):
+            parts, bad, note = _safe_parts(name)
+            if not (why or bad):
+                try:
+                    data = read(limits.bytes - total + 1)
+                except (zipfile.BadZipFile, zlib.error, ValueError, NotImplementedError, RuntimeError):
+                    why = "corrupt"
+            if why or bad:
+                yield path, name, archive, name, "skipped", why or bad, None, 0, None
                 continue
             total, files = total + len(data), files + 1
             if total > limits.bytes:
-                yield path, None, archive, "rejected", "too many bytes", total, None
+                yield path, None, archive, None, "rejected", "too many bytes", None, total, None
                 return
             if files > limits.files:
-                yield path, None, archive, "not_expanded", "too many files", files, None
+                yield path, None, archive, None, "not_expanded", "too many files", None, 0, None
                 return
-            rows.append((path, posixpath.join(f"{archive}.d", names.take(parts)) if archive else names.take(parts), archive, "extracted", None, len(data), data))
-    except (zipfile.BadZipFile, tarfile.TarError, EOFError, OSError, ValueError) as e:
-        yield path, None, archive, "rejected", f"corrupt: {type(e).__name__}", 0, None
-        return
-    yield from rows
+            given = names.take(parts)
+            note = note or ("collision" if given != "/".join(parts) else "")
+            notes = [note, "setuid_dropped" if mode & 0o6000 else ""]
+            yield path, posixpath.join(f"{archive}.d", given) if archive else given, archive, name, "extracted", None, ",".join(filter(None, notes)) or None, len(data), data
+    except (zipfile.BadZipFile, tarfile.TarError, EOFError, OSError, ValueError, zlib.error) as e:
+        if files:
+            yield path, None, archive, None, "not_expanded", "partial", None, 0, None
+        else:
+            yield path, None, archive, None, "rejected", f"corrupt: {type(e).__name__}", None, 0, None
 
 
 def expand_once(archives: DataFrame, limits: Limits) -> DataFrame:
@@ -120,46 +155,65 @@ def expand_once(archives: DataFrame, limits: Limits) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 found: list[tuple] = []
+                size = 0
                 for member in _expand(row["path"], row["archive"], row["content"], limits):
                     found.append(member)
-                    if sum(len(m[-1] or b"") for m in found[-64:]) > 1 << 22 or len(found) >= 256:
+                    size += len(member[-1] or b"")
+                    if size > 1 << 22 or len(found) >= 256:
                         yield _batch(found)
-                        found = []
+                        found, size = [], 0
                 if found:
                     yield _batch(found)
 
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.string()] * 5 + [pa.int64(), pa.binary()]
+        kinds = [pa.string()] * 7 + [pa.int64(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], _NAMES)
 
     return archives.select("path", "archive", "content").mapInArrow(run, MEMBER)
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """Written to the session's checkpoint folder if it has one, so that no later step unpacks an archive again."""
+    context = df.sparkSession.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir")
+    if folder and context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    return df.checkpoint() if context.getCheckpointDir() else df
+
+
 def expand(artifacts: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """All members of artifacts (path, content), nested archives beside themselves as name.d/.
 
-    Each level is a pass over the archives that the one before found, so nested work spreads over tasks. An artifact over its
-    bytes, at any level, is rejected as a whole.
+    What is an archive is told by its first bytes alone. Each level is a pass over the archives that the one before found, so
+    nested work spreads over tasks; what lies deeper than `nesting` levels has a row that says so. An artifact over its
+    bytes, at any level, is rejected as a whole; of a damaged archive the members before the damage stay.
     """
-    level = artifacts.select("path", F.lit("").alias("archive"), "content")
-    found = expand_once(level, limits)
-    levels = [found]
-    for depth in range(1, limits.nesting + 1):
-        nested = found.where((F.col("status") == "extracted") & archive_kind(F.col("content")).isNotNull() & (F.col("inner_path").rlike(r"(?i)\.(zip|tar|tgz|tar\.gz)$")))
-        if depth == limits.nesting or nested.isEmpty():
+    found = _cut(expand_once(artifacts.select("path", F.lit("").alias("archive"), "content"), limits))
+    members = found
+    for depth in range(1, limits.nesting + 2):
+        nested = found.where((F.col("status") == "extracted") & archive_kind(F.col("content")).isNotNull())
+        if nested.isEmpty():
+            break
+        if depth > limits.nesting:
+            none = F.lit(None)
+            deep = nested.select("path", none.cast("string").alias("inner_path"), F.col("inner_path").alias("archive"), none.cast("string").alias("name"), F.lit("not_expanded").alias("status"), F.lit("nesting").alias("reason"), none.cast("string").alias("note"), F.lit(0).cast("bigint").alias("bytes"), none.cast("binary").alias("content"))
+            members = members.unionByName(deep)
             break
-        found = expand_once(nested.select("path", F.col("inner_path").alias("archive"), "content"), limits)
-        levels.append(found)
-    members = levels[0]
-    for more in levels[1:]:
-        members = members.unionByName(more)
-    over = members.groupBy("path").agg(F.sum("bytes").alias("all"), F.bool_or((F.col("status") == "rejected") & (F.col("archive") == "")).alias("bad")).where((F.col("all") > limits.bytes) | F.col("bad"))
-    kept = members.join(over, "path", "left_anti")
-    gone = over.select("path", F.lit(None).cast("string").alias("inner_path"), F.lit("").alias("archive"), F.lit("rejected").alias("status"), F.lit("artifact rejected").alias("reason"), F.col("all").alias("bytes"), F.lit(None).cast("binary").alias("content"))
-    return kept.unionByName(gone)
+        found = _cut(expand_once(nested.select("path", F.col("inner_path").alias("archive"), "content"), limits))
+        members = members.unionByName(found)
+    bad = (F.col("status") == "rejected") & ((F.col("archive") == "") | (F.col("reason") == "too many bytes"))
+    over = members.select("path", "bytes", bad.alias("bad")).groupBy("path").agg(F.sum("bytes").alias("all"), F.bool_or("bad").alias("bad")).where((F.col("all") > limits.bytes) | F.col("bad"))
+    kept = members.join(over.select("path"), "path", "left_anti")
+    values = {"archive": F.lit(""), "status": F.lit("rejected"), "reason": F.lit("artifact rejected"), "bytes": F.col("all")}
+    return kept.unionByName(over.select("path", *[values.get(n, F.lit(None)).cast(t).alias(n) for n, t in (x.split(" ") for x in MEMBER.split(", ")[1:])]))
 
 
 def manifest(members: DataFrame) -> DataFrame:
-    """Per artifact: how many members were extracted, and lists of those that were skipped or not expanded."""
+    """Per artifact: how many members were extracted, and lists of those that were renamed, lost their setuid bits, were skipped or not expanded."""
     listed = lambda status: F.array_sort(F.collect_list(F.when(F.col("status") == status, F.struct("inner_path", "reason"))))
-    return members.groupBy("path").agg(F.count_if(F.col("status") == "extracted").alias("extracted"), listed("skipped").alias("skipped"), listed("not_expanded").alias("not_expanded"), listed("rejected").alias("rejected"))
+    noted = lambda has: F.array_sort(F.collect_list(F.when(has, F.struct("archive", "name", "inner_path", "note"))))
+    setuid = F.coalesce(F.col("note").contains("setuid_dropped"), F.lit(False))
+    renamed = F.coalesce(F.col("note") != "setuid_dropped", F.lit(False))
+    return members.groupBy("path").agg(
+        F.count_if(F.col("status") == "extracted").alias("extracted"), noted(renamed).alias("renamed"), noted(setuid).alias("setuid_dropped"), listed("skipped").alias("skipped"), listed("not_expanded").alias("not_expanded"), listed("rejected").alias("rejected")
+    )

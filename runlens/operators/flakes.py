@@ -71,8 +71,11 @@ def rerun_flips(tables: Tables, f: Filter = Filter()) -> DataFrame:
         runs = runs.join(fit.select(*RUN).distinct(), RUN, "left_semi")
     jobs = matching_jobs(tables.jobs, f).select(*ATTEMPT, "job_id", "name", "conclusion", "kind", F.when(F.col("has_log"), F.col("path")).alias("path"))
     jobs = jobs.join(runs, RUN, "left_semi")
-    by_attempt = outcomes(observations(jobs, tables.steps))
     name = [*RUN, "job", "step"]
+    # One exchange by run serves all that follows; logs are gathered only for jobs of which something failed and succeeded.
+    seen = observations(jobs, tables.steps).repartition(*RUN)
+    both = seen.where("kind = 'ran'").groupBy(*name).agg(F.bool_or(failing(F.col("conclusion"))).alias("bad"), F.bool_or(F.col("conclusion") == "success").alias("good"))
+    by_attempt = outcomes(seen.join(both.where("bad and good").select(*RUN, "job").distinct(), [*RUN, "job"], "left_semi"))
     flips = by_attempt.groupBy(*name).agg(
         F.array_sort(F.collect_list(F.when(F.col("outcome").isNotNull(), F.struct("attempt", F.col("outcome").alias("conclusion"))))).alias("outcomes"),
         F.collect_list(F.transform("logs", lambda x: F.struct("attempt", x["job_id"].alias("job_id"), x["path"].alias("path")))).alias("logs"),

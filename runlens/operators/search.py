@@ -25,6 +25,12 @@ def lines(files: DataFrame, text: str = "text", keep: tuple[str, ...] = ("path",
     return files.where(~binary).select(*keep, F.posexplode(own).alias("line", "text")).withColumn("line", F.col("line") + 1)
 
 
+def spread(files: DataFrame) -> DataFrame:
+    """Files dealt to all cores where they come in fewer partitions, as from one row group; a large input stays as it is."""
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    return files.repartition(cores) if files.rdd.getNumPartitions() < cores else files
+
+
 def grep(log_lines: DataFrame, pattern: str, fixed: bool = False, ignore_case: bool = False, within: DataFrame | None = None, key: str = "path") -> DataFrame:
     """Lines that hold the pattern, of all files or of those that `within` lists by key."""
     hits = log_lines.where(line_predicate(F.col("text"), pattern, fixed, ignore_case))

@@ -307,7 +307,7 @@ _LINES = "lines AS (SELECT doc_id AS path, lang, source, unnest(x) AS text, gene
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").withColumn("path", F.col("doc_id"))
-    return search.lines(docs, "text", ("path", "lang", "source"))
+    return search.lines(search.spread(docs.select("path", "lang", "source", "text")), "text", ("path", "lang", "source"))
 
 
 @query(f"WITH {_LINES} SELECT path, CAST(line AS INTEGER) AS line, text FROM lines")

@@ -266,3 +266,38 @@ def test_archives(spark):
     over = archives.expand(rows, archives.Limits(bytes=4)).where("path = 'p'").collect()
     assert [(r.status, r.reason) for r in over] == [("rejected", "artifact rejected")]
     assert archives.manifest(got).where("path = 'p'").first().extracted == 4
+
+
+def test_damaged_and_deep_archives(spark):
+    """Members before damage stay, what is an archive is told by its bytes, and what is too deep is named."""
+    import io
+    import tarfile
+    import zipfile
+
+    def zipped(name, data):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr(name, data)
+        return out.getvalue()
+
+    tar = io.BytesIO()
+    with tarfile.open(fileobj=tar, mode="w") as t:
+        for name, mode in (("a", 0o4755), ("b" * 300, 0o644), ("/".join("d" * 40) + "/f", 0o644), ("c\x01d", 0o644)):
+            info = tarfile.TarInfo(name)
+            info.size, info.mode = 3, mode
+            t.addfile(info, io.BytesIO(b"abc"))
+    deep = b"core"
+    for i in range(4):
+        deep = zipped(f"level{i}.bin", deep)
+    whole = tar.getvalue()
+    bomb = io.BytesIO()
+    with zipfile.ZipFile(bomb, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("zeros", b"0" * 5_000_000)
+    rows = [("tar", whole), ("cut", whole[:1536]), ("deep", deep), ("bomb", bomb.getvalue())]
+    got = archives.expand(spark.createDataFrame([(p, bytearray(c)) for p, c in rows], "path string, content binary"), archives.Limits(bytes=1_000_000, nesting=2)).collect()
+    of = lambda p: [(r.inner_path, r.status, r.reason, r.note) for r in got if r.path == p]
+    assert ("a", "extracted", None, "setuid_dropped") in of("tar") and ("b" * 60, "extracted", None, "too_long") in of("tar") and ("c-d", "extracted", None, "invalid") in of("tar")
+    assert any(note == "too_deep" and len(p.split("/")) == 32 for p, _, _, note in of("tar"))
+    assert ("a", "extracted", None, "setuid_dropped") in of("cut") and (None, "not_expanded", "partial", None) in of("cut")
+    assert {p for p, *_ in of("deep")} == {"level3.bin", "level3.bin.d/level2.bin", "level3.bin.d/level2.bin.d/level1.bin", None} and (None, "not_expanded", "nesting", None) in of("deep")
+    assert of("bomb") == [(None, "rejected", "artifact rejected", None)]

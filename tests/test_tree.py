@@ -40,7 +40,6 @@ def root(tmp_path_factory):
     return root
 
 
-@pytest.mark.skip(reason="takes minutes and has not yet been run to its end")
 def test_tables(spark, root):
     t, rejected = units.build_tables(spark, str(root))
     run = t.runs.collect()
