@@ -16,7 +16,7 @@ from .workspace import Workspace
 
 #: Words of a shingle, least similarity in percent, and Hamming radius; at 75 % up to a seventh of the words can differ at an end.
 SIZE, SIMILARITY, RADIUS = 5, 75, 22
-#: Shingles of all items up to which the items are sent to all tasks; more are joined by a shuffle.
+#: Shingles of all items up to which the items are sent to all tasks (40 bytes for each); more are joined by a shuffle, with equal results.
 MOST_SENT = 500_000
 
 
@@ -57,18 +57,24 @@ def find_passages(docs: DataFrame, items: DataFrame, text: str = "text", id_: st
     known = items.select(F.col(item_id).alias("item_id"), words_of(F.coalesce(item_text, F.lit(""))).alias("item_words")).where(F.size("item_words") > 0)
     known = known.withColumns({"n_item": F.size("item_words"), "run": F.least(F.lit(size), F.size("item_words"))}).distinct()
     known = with_simhash(known.withColumns({"item_shingles": shingles(word_hashes(F.col("item_words")), F.col("run")), "words": F.col("item_words")}), "words", ["item_id", "item_words"], work, "item_sim")
-    sent = F.broadcast if known.agg(F.coalesce(F.sum(F.size("item_shingles")), F.lit(0))).first()[0] <= most_sent else (lambda df: df)
+    few = known.agg(F.coalesce(F.sum(F.size("item_shingles")), F.lit(0))).first()[0] <= most_sent
+    sent = F.broadcast if few else (lambda df: df)
     runs = [r[0] for r in known.select("run").distinct().collect()]  # up to `size` numbers
     index = known.select("item_id", "n_item", "run", "item_sim", F.explode(F.array_distinct("item_shingles")).alias("h"))
 
     texts = docs.select(F.col(id_).alias("doc_id"), F.xxhash64(text).alias("same"), words_of(F.coalesce(text, F.lit(""))).alias("words")).withColumn("hashes", word_hashes(F.col("words")))
+    # Where the items are sent, words go along with the shingles inside a task; else only keys are shuffled, and words come by another join.
+    carried = ["words"] if few else []
     met = []
     for run in runs or [size]:
-        at = texts.select("doc_id", "same", "words", F.posexplode(shingles(F.col("hashes"), run)).alias("p", "h")).withColumn("run", F.lit(run))
+        at = texts.select("doc_id", "same", *carried, F.posexplode(shingles(F.col("hashes"), run)).alias("p", "h")).withColumn("run", F.lit(run))
         met.append(at.join(sent(index), ["h", "run"]))
     anchors = met[0]
     for more in met[1:]:
         anchors = anchors.unionByName(more)
+    if not few:
+        own = texts.select(F.col("doc_id").alias("_id"), F.col("same").alias("_same"), "words").dropDuplicates(["_id", "_same"])
+        anchors = anchors.join(own, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("same").eqNullSafe(F.col("_same"))).drop("_id", "_same")
     n, w, p = F.size("words"), F.col("n_item"), F.col("p") + 1
     low = F.greatest(F.lit(1), p - w + F.col("run"))
     around = anchors.select("doc_id", "same", "item_id", "n_item", "run", "item_sim", p.alias("p"), n.alias("n"), low.alias("low"), F.slice("words", low, F.least(n, p + w - 1) - low + 1).alias("around"))
@@ -88,10 +94,11 @@ def find_passages(docs: DataFrame, items: DataFrame, text: str = "text", id_: st
     def keys(fingerprint: Column) -> Column:
         return F.transform(numbers, lambda i: _block(fingerprint, i, width))
 
-    by_block = known.select("item_id", "item_sim", "item_shingles", F.posexplode(keys(F.col("item_sim"))).alias("block", "bits"))
+    by_block = known.select("item_id", "item_sim", F.posexplode(keys(F.col("item_sim"))).alias("block", "bits"))
     found = marked.select("*", F.posexplode(keys(F.col("sim"))).alias("block", "bits")).join(sent(by_block), ["item_id", "item_sim", "block", "bits"])
     agreeing = F.array_min(F.filter(numbers, lambda i: _block(F.col("sim"), i, width) == _block(F.col("item_sim"), i, width)))
-    near = found.where((distance(F.col("sim"), F.col("item_sim")) <= radius) & (F.col("block") == agreeing))
+    wanted = sent(known.select("item_id", "item_sim", "item_shingles"))
+    near = found.where((distance(F.col("sim"), F.col("item_sim")) <= radius) & (F.col("block") == agreeing)).join(wanted, ["item_id", "item_sim"])
 
     shared = F.size(F.array_intersect(_numbered(F.col("own")), _numbered(F.col("item_shingles"))))
     counted = near.select("doc_id", "item_id", "start", shared.alias("shared"), (F.size("own") + F.size("item_shingles") - shared).alias("all"))
