@@ -98,7 +98,10 @@ def linked_components(spark: SparkSession, buckets: DataFrame, bounds: Callable,
     known = work.keep(connected_components(links, work), "leader-components")
     roots = sent(known)
     by_key = with_roots(met.select("key", F.col("x.node").alias("node")), roots).groupBy("key").agg(F.min("root").alias("first"), F.max("root").alias("last"))
-    open_ = sent(work.keep(by_key.where("first < last").select("key"), "open-keys"))
+    open_ = work.keep(by_key.where("first < last").select("key"), "open-keys")
+    if open_.isEmpty():
+        return known
+    open_ = sent(open_)
     rest = work.keep(with_roots(met.join(open_, "key", "left_semi").select("key", "x", F.col("x.node").alias("node")), roots), "open-buckets")
     # Parts of a bucket can have come apart: what is left of it meets its one least member before members meet each other.
     head = rest.groupBy("key").agg(F.min(F.struct("x", "root")).alias("h")).select("key", F.col("h.x").alias("y"), F.col("h.root").alias("s"))
