@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.patterns import line_predicate
@@ -93,12 +93,6 @@ def summary(log_lines: DataFrame, pattern: str, key: str = "path", **options: bo
     return total.withColumn("no_match", F.col("hits") == 0)
 
 
-def observed(hits: DataFrame, name: str = "search") -> tuple[DataFrame, Observation]:
-    """Hits with their number counted in the same pass."""
-    seen = Observation(name)
-    return hits.observe(seen, F.count(F.lit(1)).alias("hits")), seen
-
-
 def verified(parsed: DataFrame, log_lines: DataFrame, key: str = "path") -> DataFrame:
     """Hits (key, line, text) as verified_line: their line if it holds the text, else the first line of the file that does,
     else null."""

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.names import parse_location
+from ..operators.freshness import reconcile
 from ..schema import RUN
+from ..sources.sinks import drop, replace_runs, same_format
+from ..sources.units import build_tables, listing, units
 
 
 def unit_stream(spark: SparkSession, root: str, glob: str = "attempt.json") -> DataFrame:
@@ -33,6 +36,34 @@ def keep_current(stream: DataFrame, derive: Callable[[DataFrame], None], checkpo
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+def refresh(spark: SparkSession, root: str, store: str) -> DataFrame:
+    """Brings written tables up to date with the files: (run, change) of the runs derived anew or removed.
+
+    Units on disk are held against those that the store was built from. Rows of changed runs replace the old ones, rows of removed runs go,
+    and days without rows with them. A store of another format, or none, is built from all files.
+    """
+    found = units(listing(spark, root)).select(*RUN, "path", "modified")
+    tables, rejected = build_tables(spark, root)
+    days = tables.runs.select(*RUN, "date_dir")
+    named = {"runs": tables.runs, "attempts": tables.attempts.join(days, RUN), "jobs": tables.jobs.join(days, RUN), "steps": tables.steps.join(days, RUN), "artifacts": tables.artifacts.join(days, RUN)}
+    if same_format(spark, f"{store}/runs"):
+        indexed = spark.read.parquet(f"{store}/units")
+        old = spark.read.parquet(f"{store}/runs").select(*RUN, F.col("date_dir").cast("date").alias("date_dir"))
+    else:
+        for name in (*named, "units"):
+            drop(spark, f"{store}/{name}")
+        indexed, old = found.limit(0), days.limit(0)
+    both = reconcile(found, indexed, RUN).join(days, RUN, "left").join(old.withColumnRenamed("date_dir", "old_day"), RUN, "left")
+    both.select(*RUN, "change", F.coalesce("date_dir", "old_day").alias("date_dir")).write.mode("overwrite").parquet(f"{store}/change")
+    change = spark.read.parquet(f"{store}/change")
+    changed, gone = change.where("change = 'changed'"), change.where("change = 'removed' and date_dir is not null").drop("change")
+    for name, rows in named.items():
+        replace_runs(rows.join(changed.select(*RUN), RUN, "left_semi"), f"{store}/{name}", changed.where("date_dir is not null").drop("change"), gone)
+    found.write.mode("overwrite").parquet(f"{store}/units")
+    rejected.write.mode("overwrite").parquet(f"{store}/rejected")
+    return change.select(*RUN, "change")
+
+
 def without_repeats(listings: DataFrame, keys: list[str], created: str = "created_at", overlap: str = "1 hour") -> DataFrame:
     """A stream of landed listings, which overlap by an hour, with each run once."""
     return listings.withWatermark(created, overlap).dropDuplicatesWithinWatermark(keys)

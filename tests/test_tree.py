@@ -77,3 +77,43 @@ def test_stream_takes_each_run_once(spark, root, tmp_path):
     for _ in range(2):
         ingest_stream.keep_current(stream, lambda runs: seen.append(sorted(r.run_id for r in runs.collect())), str(tmp_path / "checkpoint")).awaitTermination(120)
     assert [x for x in seen if x] == [[7, 8]]
+
+
+def test_store_follows_the_files(spark, root, tmp_path):
+    """Built from all files, then only what changed; a removed run and its day go; another format is built anew."""
+    import os
+    import shutil
+
+    data, store = tmp_path / "data", str(tmp_path / "store")
+    shutil.copytree(root, data)
+    other = data / "h.example/o/r/runs/2026-01-05/9_wf_main/attempt-1"
+    shutil.copytree(data / RUN_DIR / "attempt-1", other)
+    facts = json.loads((other / "attempt.json").read_text()) | {"id": 9, "created_at": "2026-01-05T00:00:00Z", "run_attempt": 1}
+    (other / "attempt.json").write_text(json.dumps(facts))
+    (other / "fetch.json").write_text(json.dumps({"run_id": 9, "run_created_at": "2026-01-05T00:00:00Z", "run_attempt_at_fetch": 1, "attempt": 1}))
+    told = lambda: sorted((r.run_id, r.change) for r in ingest_stream.refresh(spark, str(data), store).collect())
+    runs = lambda: sorted((r.run_id, r.event, str(r.date_dir)) for r in spark.read.parquet(f"{store}/runs").collect())
+    assert (7, "changed") in told() and runs() == [(7, "push", "2026-01-02"), (9, "push", "2026-01-05")]
+    spark.catalog.clearCache()
+    shutil.rmtree(data / "h.example/o/r/runs/2026-01-05")
+    file = data / RUN_DIR / "attempt-2/attempt.json"
+    file.write_text(json.dumps(json.loads(file.read_text()) | {"event": "schedule"}))
+    os.utime(file, (2_000_000_000, 2_000_000_000))
+    assert [x for x in told() if x[0] in (7, 9)] == [(7, "changed"), (9, "removed")]
+    assert runs() == [(7, "schedule", "2026-01-02")]
+    assert {r.run_id for r in spark.read.parquet(f"{store}/jobs").collect()} == {7}
+    spark.catalog.clearCache()
+
+
+def test_watched_runs(spark):
+    state = lambda rows: spark.createDataFrame(rows, "run_id bigint, status string")
+    left = ingest_stream.watch(state([(1, "queued"), (2, "queued")]), state([(2, "completed"), (3, "in_progress"), (4, "completed")]), ["run_id"])
+    assert sorted((r.run_id, r.status) for r in left.collect()) == [(1, "queued"), (3, "in_progress")]
+
+
+def test_listings_that_overlap(spark, tmp_path):
+    rows = [("2026-01-01 00:00:00", 1), ("2026-01-01 00:30:00", 2), ("2026-01-01 00:30:00", 2), ("2026-01-01 00:00:00", 1)]
+    spark.createDataFrame(rows, "at string, run_id bigint").selectExpr("cast(at as timestamp) created_at", "run_id").write.parquet(str(tmp_path / "in"))
+    stream = ingest_stream.without_repeats(spark.readStream.schema("created_at timestamp, run_id bigint").parquet(str(tmp_path / "in")), ["run_id"])
+    stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination(120)
+    assert sorted(r.run_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2]
