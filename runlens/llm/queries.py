@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .decontamination import find_passages
 from .html_text import extract_text
@@ -14,6 +15,7 @@ from .language_model import score_texts
 from .line_dedup import dedup_lines
 from .pieces import encode_pieces
 from .quality import judge_quality
+from .substring_dedup import remove_repeats
 from .token_counts import MODEL, count_tokens
 from .url_rules import judge_urls
 
@@ -80,6 +82,12 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path()).select("doc_id", "n_pieces", "piece_ids", "round_trip")
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its words, how many went, and a digest of those that stay."""
+    left = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_html_extraction": op2_html_extraction,
@@ -91,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_language_id": op9_language_id,
     "op10_sentencepiece": op10_sentencepiece,
+    "op12_substring_dedup": op12_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
