@@ -15,6 +15,7 @@ from .langid import held_out_languages
 from .language_model import score_texts
 from .line_dedup import dedup_lines
 from .pieces import encode_pieces
+from .prefix_trie import conversation_trie
 from .quality import judge_quality
 from .substring_dedup import remove_repeats
 from .token_counts import MODEL, count_tokens
@@ -83,6 +84,12 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path()).select("doc_id", "n_pieces", "piece_ids", "round_trip")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct beginning of the rebuilt conversations."""
+    nodes = conversation_trie(table(spark, sf_dir, "conversations"))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its words, how many went, and a digest of those that stay."""
     left = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -106,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_language_id": op9_language_id,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_substring_dedup": op12_substring_dedup,
     "op13_hard_negatives": op13_hard_negatives,
 }
