@@ -26,7 +26,7 @@ STEPS = f"{_run}, attempt int, job_id bigint, number int, name string, conclusio
 ARTIFACTS = (
     f"{_run}, attributed_attempt int, attribution string, artifact_id bigint, name string, size bigint, created_at timestamp, expired boolean, has_zip boolean, extracted boolean, path string"
 )
-TOMBSTONES = "path string, target string, reason string, http_status int, tombstoned_at timestamp"
+TOMBSTONES = f"{_run}, path string, target string, reason string, http_status int, tombstoned_at timestamp"
 FILES = f"{_run}, attempt int, job_id bigint, artifact_id bigint, path string, file string, length bigint"
 UNITS = f"{_run}, path string, modified timestamp"
 

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import quoted, short_sha, time_text
-from ..schema import FORMAT_VERSION, RUN
 
 
 def _file_system(spark: SparkSession, path: str) -> tuple[object, object]:
@@ -21,47 +20,6 @@ def exists(spark: SparkSession, path: str) -> bool:
     return store.exists(own)
 
 
-def drop(spark: SparkSession, path: str) -> None:
-    """Deletes a path with all below it."""
-    own, store = _file_system(spark, path)
-    store.delete(own, True)
-
-
-def replace_runs(new: DataFrame, path: str, runs: DataFrame, gone: DataFrame | None = None) -> None:
-    """Writes rows of re-derived runs over a table partitioned by date_dir; rows of other runs of the same days stay.
-
-    runs: keys and date_dir of all runs derived anew; gone: of runs to drop. Only the days touched are written, each as a
-    whole and from a staged copy, so a failure leaves the old days; then the days go that have no rows left.
-    """
-    spark = new.sparkSession
-    touched = runs.select(*RUN, "date_dir") if gone is None else runs.select(*RUN, "date_dir").unionByName(gone.select(*RUN, "date_dir"))
-    if not exists(spark, path):
-        new.withColumn("format_version", F.lit(FORMAT_VERSION)).write.partitionBy("date_dir").parquet(path)
-        return
-    old = spark.read.parquet(path).withColumn("date_dir", F.col("date_dir").cast("date"))
-    touched_runs = touched.select(*RUN).distinct()
-    # A run can have moved to another day: its old day is touched as well.
-    days = touched.select("date_dir").unionByName(old.join(touched_runs, RUN, "left_semi").select("date_dir")).distinct()
-    stay = old.join(days, "date_dir", "left_semi").join(touched_runs, RUN, "left_anti")
-    all_rows = stay.unionByName(new.withColumn("format_version", F.lit(FORMAT_VERSION)), allowMissingColumns=True)
-    staged = path.rstrip("/") + "-staged"
-    all_rows.write.mode("overwrite").parquet(staged)
-    written = spark.read.schema(all_rows.schema).parquet(staged)
-    emptied = [r["date_dir"] for r in days.join(written.select("date_dir").distinct(), "date_dir", "left_anti").collect()]  # days touched at most
-    written.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date_dir").parquet(path)
-    for day in emptied:
-        drop(spark, f"{path.rstrip('/')}/date_dir={day}")
-    drop(spark, staged)
-
-
-def same_format(spark: SparkSession, path: str) -> bool:
-    """True if a table is there and all its rows have this format; otherwise it must be built from the files again."""
-    if not exists(spark, path):
-        return False
-    old = spark.read.parquet(path)
-    return "format_version" in old.columns and old.where(F.col("format_version").isNull() | (F.col("format_version") != FORMAT_VERSION)).isEmpty()
-
-
 def json_lines(findings: DataFrame, path: str | None = None) -> DataFrame:
     """One JSON document a row with all fields, null ones too; written if a path is given."""
     told = findings.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))

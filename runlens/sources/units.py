@@ -36,23 +36,32 @@ def _relative(root: str) -> Column:
     return F.regexp_replace(F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B")), r"^.*?\Q" + base + r"\E/", "")
 
 
-def _json(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
+def _places(root: str, run_dirs: list[str] | None) -> str | list[str]:
+    """What readers load: the whole tree, or the folders of some runs."""
+    return root if run_dirs is None else [f"{root.rstrip('/')}/{d}" for d in run_dirs]
+
+
+def _json(spark: SparkSession, root: str, name: str, schema: str, run_dirs: list[str] | None = None) -> DataFrame:
     """Documents of a name, or a pattern of names, with the parts of their path; a broken one has only _corrupt_record."""
-    read = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").option("recursiveFileLookup", True).option("pathGlobFilter", name).json(root)
+    if run_dirs == []:
+        return spark.createDataFrame([], schema).select("*", F.lit("").alias("_path")).withColumn("_at", parse_location(F.col("_path"))).where("_at.reason is null")
+    read = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").option("recursiveFileLookup", True).option("pathGlobFilter", name).json(_places(root, run_dirs))
     return read.select("*", _relative(root).alias("_path")).withColumn("_at", parse_location(F.col("_path"))).where("_at.reason is null")
 
 
-def _of_attempts(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
-    return _json(spark, root, name, schema).where((F.col("_at.file") == name) & F.col("_at.attempt").isNotNull() & F.col("_at.job_id").isNull())
+def _of_attempts(spark: SparkSession, root: str, name: str, schema: str, run_dirs: list[str] | None = None) -> DataFrame:
+    return _json(spark, root, name, schema, run_dirs).where((F.col("_at.file") == name) & F.col("_at.attempt").isNotNull() & F.col("_at.job_id").isNull())
 
 
-def _of_artifacts(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
-    return _json(spark, root, name, schema).where((F.col("_at.file") == name) & F.col("_at.artifact_id").isNotNull())
+def _of_artifacts(spark: SparkSession, root: str, name: str, schema: str, run_dirs: list[str] | None = None) -> DataFrame:
+    return _json(spark, root, name, schema, run_dirs).where((F.col("_at.file") == name) & F.col("_at.artifact_id").isNotNull())
 
 
-def listing(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """(run, attempt, job_id, artifact_id, path, file, length, modified) of all files below the runs; reads no content."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
+def listing(spark: SparkSession, root: str, glob: str = "*", run_dirs: list[str] | None = None) -> DataFrame:
+    """(run, run_dir, attempt, job_id, artifact_id, file, path, length, modified) of all files below the runs, or below some of them; reads no content."""
+    if run_dirs == []:
+        return listing(spark, root, glob).limit(0)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(_places(root, run_dirs))
     placed = files.select(_relative(root).alias("path"), "length", F.col("modificationTime").alias("modified")).withColumn("_at", parse_location(F.col("path")))
     at = F.col("_at")
     return placed.where("_at.reason is null").select(*[at[c].alias(c) for c in (*RUN, "run_dir", "attempt", "job_id", "artifact_id", "file")], "path", "length", "modified")
@@ -67,10 +76,10 @@ def units(files: DataFrame) -> DataFrame:
     return files.withColumn("unit", unit).where("unit is not null").groupBy(*RUN, F.col("unit").alias("path")).agg(F.max("modified").alias("modified"))
 
 
-def tombstones(spark: SparkSession, root: str) -> DataFrame:
-    """(path, target, reason, http_status, tombstoned_at) of lost files; path is the file that will not come."""
-    read = _json(spark, root, "*.tombstone", TOMBSTONE_JSON)
-    return read.select(F.regexp_replace("_path", r"\.tombstone$", "").alias("path"), "target", "reason", "http_status", "tombstoned_at")
+def tombstones(spark: SparkSession, root: str, run_dirs: list[str] | None = None) -> DataFrame:
+    """(run, path, target, reason, http_status, tombstoned_at) of lost files; path is the file that will not come."""
+    read = _json(spark, root, "*.tombstone", TOMBSTONE_JSON, run_dirs)
+    return read.select(*[F.col(f"_at.{c}").alias(c) for c in RUN], F.regexp_replace("_path", r"\.tombstone$", "").alias("path"), "target", "reason", "http_status", "tombstoned_at")
 
 
 def log_lines(spark: SparkSession, root: str) -> DataFrame:
@@ -81,18 +90,25 @@ def log_lines(spark: SparkSession, root: str) -> DataFrame:
     return lines(placed, "content", (*ATTEMPT, "job_id", "path"))
 
 
-def build_tables(spark: SparkSession, root: str) -> tuple[Tables, DataFrame]:
-    """All tables from the files alone, and rejects (path, reason): documents that don't parse, whose units are left out.
+def build_tables(spark: SparkSession, root: str, run_dirs: list[str] | None = None, held: list[DataFrame] | None = None) -> tuple[Tables, DataFrame]:
+    """All tables from the files alone, and rejects (run, path, reason): documents that don't parse, whose units are left out.
 
-    Parsed documents are persisted, as several tables read them; write the tables and then clear the session's cache.
+    run_dirs: folders of runs below the root; no other file is read then. Parsed documents are persisted, as several tables read them; they
+    are added to `held`, for the caller to unpersist once the tables are written.
     """
+
+    def keep(df: DataFrame) -> DataFrame:
+        if held is not None:
+            held.append(df)
+        return df.persist()
+
     at = lambda c: F.col(f"_at.{c}").alias(c)
-    raw = _of_attempts(spark, root, "attempt.json", ATTEMPT_JSON).persist()
-    jobs_raw = _of_attempts(spark, root, "jobs.json", JOB_JSON).persist()
-    listed_raw = _of_attempts(spark, root, "artifacts.json", ARTIFACT_JSON).persist()
-    fetch_raw = _of_attempts(spark, root, "fetch.json", FETCH_JSON).persist()
-    artifact_raw = _of_artifacts(spark, root, "artifact.json", ARTIFACT_JSON).persist()
-    artifact_fetch = _of_artifacts(spark, root, "fetch.json", FETCH_JSON).persist()
+    raw = keep(_of_attempts(spark, root, "attempt.json", ATTEMPT_JSON, run_dirs))
+    jobs_raw = keep(_of_attempts(spark, root, "jobs.json", JOB_JSON, run_dirs))
+    listed_raw = keep(_of_attempts(spark, root, "artifacts.json", ARTIFACT_JSON, run_dirs))
+    fetch_raw = keep(_of_attempts(spark, root, "fetch.json", FETCH_JSON, run_dirs))
+    artifact_raw = keep(_of_artifacts(spark, root, "artifact.json", ARTIFACT_JSON, run_dirs))
+    artifact_fetch = keep(_of_artifacts(spark, root, "fetch.json", FETCH_JSON, run_dirs))
     bad = "_corrupt_record is not null"
     broken = [x.where(bad).select(*[at(c) for c in ATTEMPT], "_path") for x in (raw, jobs_raw, listed_raw, fetch_raw)]
     rejected = broken[0]
@@ -104,7 +120,7 @@ def build_tables(spark: SparkSession, root: str) -> tuple[Tables, DataFrame]:
         own = df.where(f"not ({bad})").select(*[at(c) for c in ATTEMPT], *[c for c in df.columns if c not in ("_at", "_corrupt_record", "repo", "host", "run_id", "attempt")])
         return own.join(bad_units, ATTEMPT, "left_anti")
 
-    files = listing(spark, root).select("path", F.col("length").alias("bytes"), "file", *ATTEMPT, "job_id", "artifact_id").persist()
+    files = keep(listing(spark, root, run_dirs=run_dirs).select("path", F.col("length").alias("bytes"), "file", *ATTEMPT, "job_id", "artifact_id"))
     attempts_raw, fetches = good(raw), good(fetch_raw)
     attempts = attempts_raw.select(
         *ATTEMPT, F.regexp_replace("_path", "/attempt.json$", "").alias("path"), "status", "conclusion", "run_started_at", F.col("updated_at").alias("completed_at"), "html_url"
@@ -144,5 +160,5 @@ def build_tables(spark: SparkSession, root: str) -> tuple[Tables, DataFrame]:
     )
     runs = runs.join(pr_numbers(numbers), RUN, "left").withColumns({"pr_numbers": F.coalesce("pr_numbers", none), "date_dir": F.to_date("created_at")})
     where = raw.select(*[at(c) for c in RUN], F.col("_at.run_dir").alias("path")).unionByName(artifact_raw.select(*[at(c) for c in RUN], F.col("_at.run_dir").alias("path"))).groupBy(*RUN).agg(F.min("path").alias("path"))
-    tables = Tables(runs.join(where, RUN), attempts, full.drop("steps"), steps, artifacts.drop("workflow_run"), tombstones(spark, root))
-    return tables, rejected.select(F.col("_path").alias("path"), F.lit("not a document").alias("reason"))
+    tables = Tables(runs.join(where, RUN), attempts, full.drop("steps"), steps, artifacts.drop("workflow_run"), tombstones(spark, root, run_dirs))
+    return tables, rejected.select(*RUN, F.col("_path").alias("path"), F.lit("not a document").alias("reason"))

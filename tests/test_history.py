@@ -188,24 +188,6 @@ def test_output_of_a_search_tool(spark):
     assert [r.path for r in where.binary_notices(hits, known).collect()] == ["a/b"]
 
 
-def test_rows_of_gone_runs_leave_the_table(spark, tmp_path):
-    from runlens.schema import RUN
-    from runlens.sources import sinks
-
-    row = lambda i, d: ("h", "r", i, d)
-    df = lambda rows: spark.createDataFrame(rows, "host string, repo string, run_id bigint, date_dir string").withColumn("date_dir", F.col("date_dir").cast("date"))
-    path = str(tmp_path / "runs")
-    first = df([row(1, "2026-01-01"), row(2, "2026-01-02"), row(3, "2026-01-02")])
-    sinks.replace_runs(first, path, first)
-    sinks.replace_runs(df([]), path, df([]), gone=df([row(1, "2026-01-01")]))
-    held = lambda: sorted((r.run_id, str(r.date_dir)) for r in spark.read.parquet(path).select(*RUN, "date_dir").collect())
-    assert held() == [(2, "2026-01-02"), (3, "2026-01-02")]
-    moved = df([row(2, "2026-01-05")])
-    sinks.replace_runs(moved, path, moved)
-    assert held() == [(2, "2026-01-05"), (3, "2026-01-02")]
-    assert sinks.same_format(spark, path) and not sinks.same_format(spark, path + "-none") and not sinks.exists(spark, path + "-staged")
-
-
 def test_literals_and_word_edges(spark):
     cases = [(r"\x41bcd", "xABCDAbcd", True), (r"\bthe\b", "see the end", True), (r"\bthe\b", "then", False), (r"x*\bab", "ab", True), (r"a?\b-", "a-", True), (r"\p{Lu}abc", "Xabc", True), (r"\Qa.b\E", "a.b", True)]
     for pattern, text, fits in cases:

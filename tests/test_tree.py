@@ -1,13 +1,16 @@
 """A small tree of units, read in one go and as a stream."""
 
 import json
+import os
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
 
 from runlens.operators import search
 from runlens.schema import RUN
-from runlens.sources import sinks, units
+from runlens.sources import units
+from runlens.sources.store import Store
 from runlens.streaming import ingest_stream
 
 RUN_DIR = "h.example/o/r/runs/2026-01-02/7_wf_main"
@@ -58,17 +61,17 @@ def test_logs(spark, root):
     assert [(r.text, r.n) for r in top] == [("##[error]bad", 2)]
 
 
-def test_units_and_sink(spark, root, tmp_path):
+def test_units_and_store(spark, root, tmp_path):
     found = units.units(units.listing(spark, str(root)))
     assert found.count() == 4
     runs = spark.createDataFrame([("h", "o/r", 7, "2026-01-02", "push")], "host string, repo string, run_id bigint, date_dir string, event string").withColumn("date_dir", F.col("date_dir").cast("date"))
-    path = str(tmp_path / "runs")
+    kept = Store(spark, str(tmp_path / "store"))
     keys = runs.select(*RUN, "date_dir")
-    sinks.replace_runs(runs, path, keys)
+    base = kept.commit({"runs": runs})
     other = runs.withColumn("run_id", F.lit(9).cast("bigint"))
-    sinks.replace_runs(other, path, other.select(*RUN, "date_dir"))
-    sinks.replace_runs(runs.withColumn("event", F.lit("again")), path, keys)
-    assert sorted((r.run_id, r.event) for r in spark.read.parquet(path).collect()) == [(7, "again"), (9, "push")]
+    base = kept.commit({"runs": other}, other.select(*RUN, "date_dir"), base)
+    base = kept.commit({"runs": runs.withColumn("event", F.lit("again"))}, keys, base)
+    assert sorted((r.run_id, r.event) for r in kept.read("runs", base).collect()) == [(7, "again"), (9, "push")]
 
 
 def test_stream_takes_each_run_once(spark, root, tmp_path):
@@ -79,30 +82,124 @@ def test_stream_takes_each_run_once(spark, root, tmp_path):
     assert [x for x in seen if x] == [[7, 8]]
 
 
-def test_store_follows_the_files(spark, root, tmp_path):
-    """Built from all files, then only what changed; a removed run and its day go; another format is built anew."""
-    import os
-    import shutil
+def _copy_run(data, day, run_id, **facts):
+    """A run of one attempt like run 7's first, on another day."""
+    own = data / f"h.example/o/r/runs/{day}/{run_id}_wf_main/attempt-1"
+    shutil.copytree(data / RUN_DIR / "attempt-1", own)
+    told = json.loads((own / "attempt.json").read_text()) | {"id": run_id, "created_at": f"{day}T00:00:00Z", "run_attempt": 1} | facts
+    (own / "attempt.json").write_text(json.dumps(told))
+    (own / "fetch.json").write_text(json.dumps({"run_id": run_id, "run_created_at": told["created_at"], "run_attempt_at_fetch": 1, "attempt": 1}))
+    return own
+
+
+def _rows(df):
+    columns = sorted(c for c in df.columns if c != "date_dir")
+    return sorted(str(r) for r in df.select(*columns).collect())
+
+
+def _as_built_anew(spark, data, store):
+    """The store's tables hold what a build from all files gives."""
+    kept = Store(spark, store)
+    base = kept.current()
+    tables, rejected = units.build_tables(spark, str(data))
+    for name in ("runs", "attempts", "jobs", "steps", "artifacts", "tombstones"):
+        assert _rows(kept.read(name, base)) == _rows(getattr(tables, name)), name
+    assert _rows(kept.read("rejected", base)) == _rows(rejected)
+    spark.catalog.clearCache()
+
 
+def test_store_follows_the_files(spark, root, tmp_path):
+    """Built from all files, then only what changed; a removed run and its day go."""
     data, store = tmp_path / "data", str(tmp_path / "store")
     shutil.copytree(root, data)
-    other = data / "h.example/o/r/runs/2026-01-05/9_wf_main/attempt-1"
-    shutil.copytree(data / RUN_DIR / "attempt-1", other)
-    facts = json.loads((other / "attempt.json").read_text()) | {"id": 9, "created_at": "2026-01-05T00:00:00Z", "run_attempt": 1}
-    (other / "attempt.json").write_text(json.dumps(facts))
-    (other / "fetch.json").write_text(json.dumps({"run_id": 9, "run_created_at": "2026-01-05T00:00:00Z", "run_attempt_at_fetch": 1, "attempt": 1}))
+    _copy_run(data, "2026-01-05", 9)
     told = lambda: sorted((r.run_id, r.change) for r in ingest_stream.refresh(spark, str(data), store).collect())
-    runs = lambda: sorted((r.run_id, r.event, str(r.date_dir)) for r in spark.read.parquet(f"{store}/runs").collect())
+    runs = lambda: sorted((r.run_id, r.event, str(r.date_dir)) for r in Store(spark, store).read("runs", Store(spark, store).current()).collect())
     assert (7, "changed") in told() and runs() == [(7, "push", "2026-01-02"), (9, "push", "2026-01-05")]
-    spark.catalog.clearCache()
+    # A broken unit is tried again each time; nothing else is.
+    assert told() == [(8, "changed")]
     shutil.rmtree(data / "h.example/o/r/runs/2026-01-05")
     file = data / RUN_DIR / "attempt-2/attempt.json"
     file.write_text(json.dumps(json.loads(file.read_text()) | {"event": "schedule"}))
     os.utime(file, (2_000_000_000, 2_000_000_000))
     assert [x for x in told() if x[0] in (7, 9)] == [(7, "changed"), (9, "removed")]
     assert runs() == [(7, "schedule", "2026-01-02")]
-    assert {r.run_id for r in spark.read.parquet(f"{store}/jobs").collect()} == {7}
-    spark.catalog.clearCache()
+    assert "2026-01-05" not in Store(spark, store).current().days["jobs"]
+    _as_built_anew(spark, data, store)
+
+
+def test_only_changed_runs_are_read(spark, root, tmp_path):
+    """The other runs' documents are spoiled, with their times kept: whoever reads them finds them broken."""
+    data, store = tmp_path / "data", str(tmp_path / "store")
+    shutil.copytree(root, data)
+    shutil.rmtree(data / "h.example/o/r/runs/2026-01-03")
+    quiet, same_day = _copy_run(data, "2026-01-05", 9), _copy_run(data, "2026-01-02", 6)
+    ingest_stream.refresh(spark, str(data), store)
+    before = Store(spark, store).current()
+    for own in (quiet, same_day):
+        for file in own.glob("*.json"):
+            at = os.stat(file)
+            file.write_text("{" * at.st_size)
+            os.utime(file, ns=(at.st_atime_ns, at.st_mtime_ns))
+    file = data / RUN_DIR / "attempt-2/attempt.json"
+    file.write_text(json.dumps(json.loads(file.read_text()) | {"event": "schedule"}))
+    os.utime(file, (2_000_000_000, 2_000_000_000))
+    assert [(r.run_id, r.change) for r in ingest_stream.refresh(spark, str(data), store).collect()] == [(7, "changed")]
+    kept = Store(spark, store)
+    after = kept.current()
+    assert sorted((r.run_id, r.event) for r in kept.read("runs", after).collect()) == [(6, "push"), (7, "schedule"), (9, "push")]
+    assert kept.read("rejected", after).count() == 0
+    # The day on which nothing changed is the file that it was.
+    assert {t: v["2026-01-05"] for t, v in after.days.items() if "2026-01-05" in v} == {t: v["2026-01-05"] for t, v in before.days.items() if "2026-01-05" in v}
+    assert ingest_stream.refresh(spark, str(data), store).count() == 0 and kept.current().version == after.version
+
+
+def test_a_fault_between_tables_leaves_the_old_state(spark, tmp_path, monkeypatch):
+    row = lambda i, day, event: ("h", "o/r", i, day, event)
+    df = lambda rows: spark.createDataFrame(rows, "host string, repo string, run_id bigint, date_dir string, event string").withColumn("date_dir", F.col("date_dir").cast("date"))
+    kept = Store(spark, str(tmp_path / "store"))
+    rows = df([row(1, None, "a"), row(2, None, "b"), row(3, "2026-01-02", "c"), row(4, "2026-01-03", "d")])
+    base = kept.commit({"runs": rows, "jobs": rows})
+    told = lambda table: sorted((r.run_id, str(r.date_dir), r.event) for r in kept.read(table, kept.current()).collect())
+    whole = told("runs")
+    assert whole == [(1, "None", "a"), (2, "None", "b"), (3, "2026-01-02", "c"), (4, "2026-01-03", "d")]
+    new = df([row(1, None, "again"), row(3, "2026-01-04", "moved")])
+    touched = df([row(1, None, ""), row(3, "2026-01-02", ""), row(3, "2026-01-04", "")]).drop("event")
+    with pytest.raises(Exception, match="stopped"):  # the second table fails in its tasks, after the first is written
+        kept.commit({"runs": new, "jobs": new.withColumn("event", F.raise_error(F.lit("stopped")))}, touched, base)
+    assert told("runs") == told("jobs") == whole and kept.current().version == 1
+    base = kept.commit({"runs": new, "jobs": new}, touched, base)
+    assert told("runs") == told("jobs") == [(1, "None", "again"), (2, "None", "b"), (3, "2026-01-04", "moved"), (4, "2026-01-03", "d")]
+    with pytest.raises(ValueError, match="no longer current"):
+        kept.commit({"runs": new}, touched, kept._snapshot(1))
+    # A run that goes takes its day with it; old versions can be swept away.
+    base = kept.commit({"runs": new.limit(0), "jobs": new.limit(0)}, df([row(4, "2026-01-03", "")]).drop("event"), base)
+    assert "2026-01-03" not in base.days["runs"] and [x[0] for x in told("runs")] == [1, 2, 3]
+    assert any("version=1/date_dir=2026-01-02" in x for x in kept.vacuum(keep=1))
+    assert [x[0] for x in told("jobs")] == [1, 2, 3] and kept.vacuum(keep=1) == []
+    monkeypatch.setattr("runlens.sources.store.FORMAT_VERSION", 99)
+    assert kept.current() is None
+
+
+def test_a_late_rerun_through_the_stream(spark, root, tmp_path):
+    """A second attempt, published days after the first was taken in, lands at its run's date with all the run's rows."""
+    data, store = tmp_path / "data", str(tmp_path / "store")
+    shutil.copytree(root, data)
+    shutil.rmtree(data / RUN_DIR / "attempt-2")
+    shutil.rmtree(data / RUN_DIR / "artifacts")
+    shutil.rmtree(data / "h.example/o/r/runs/2026-01-03")
+    _copy_run(data, "2026-01-05", 9)
+    stream = ingest_stream.unit_stream(spark, str(data))
+    take = lambda: ingest_stream.keep_current(stream, ingest_stream.follow(spark, str(data), store), str(tmp_path / "checkpoint")).awaitTermination(180)
+    kept = Store(spark, store)
+    runs = lambda: sorted((r.run_id, r.latest_attempt, str(r.date_dir)) for r in kept.read("runs", kept.current()).collect())
+    take()
+    assert runs() == [(7, 1, "2026-01-02"), (9, 1, "2026-01-05")]
+    shutil.copytree(root / RUN_DIR / "attempt-2", data / RUN_DIR / "attempt-2")
+    take()
+    assert runs() == [(7, 2, "2026-01-02"), (9, 1, "2026-01-05")]
+    _as_built_anew(spark, data, store)
+    assert kept.current().version == 2
 
 
 def test_watched_runs(spark):
