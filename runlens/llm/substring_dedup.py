@@ -169,14 +169,26 @@ def hit_runs(docs: DataFrame, text: str, id_: str, window: int, run_bits: int =
 
 
 def _exploded(run_bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each window of runs: its hashes, and where it is, unless its run is known to be repeated."""
+    """(known, w1, w2, code): a row for each window of runs, with its hashes and where it is; code is -1 if its run is known to be repeated.
+
+    Windows that are equal within a batch are known to be repeated: one row without a place stands for them, and each of them only hands on its place,
+    under a key of its own. So a window of very many runs is no large group.
+    """
     for batch in by_bytes(batches, "w1", 1 << 20):
         w1 = np.frombuffer(b"".join(column(batch, "w1").to_pylist()), np.int64)
         w2 = np.frombuffer(b"".join(column(batch, "w2").to_pylist()), np.int32)
         size = column(batch, "size").to_numpy()
         nth = np.arange(len(w1)) - np.repeat(np.cumsum(size) - size, size)
         code = np.where(np.repeat(column(batch, "repeated").to_numpy(zero_copy_only=False), size), -1, (np.repeat(column(batch, "run").to_numpy(), size) << run_bits) + nth)
-        yield pa.RecordBatch.from_arrays([pa.array(w1), pa.array(w2), pa.array(code)], ["w1", "w2", "code"])
+        order = np.lexsort((w2, w1))
+        w1, w2, code = w1[order], w2[order], code[order]
+        like = np.concatenate([[False], (w1[1:] == w1[:-1]) & (w2[1:] == w2[:-1])])
+        again = like.copy()
+        again[:-1] |= like[1:]
+        placed = np.flatnonzero(again & (code >= 0))
+        known = np.concatenate([np.zeros(np.count_nonzero(~like), bool), np.ones(len(placed), bool)])
+        keys = [np.concatenate([x, y]) for x, y in ((w1[~like], mixed(code[placed].view(np.uint64)).view(np.int64)), (w2[~like], np.zeros(len(placed), np.int32)), (np.where(again, -1, code)[~like], code[placed]))]
+        yield pa.RecordBatch.from_arrays([pa.array(known), *map(pa.array, keys)], ["known", "w1", "w2", "code"])
 
 
 def _met_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +196,9 @@ def _met_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     w1, w2, code = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)
     told = False  # of the row that is held back: it equals the one before it
     for batch in batches:
-        w1, w2, code = (np.concatenate([x, column(batch, name).to_numpy()]) for x, name in ((w1, "w1"), (w2, "w2"), (code, "code")))
+        known = column(batch, "known").to_numpy(zero_copy_only=False)
+        yield pa.RecordBatch.from_arrays([pa.array(column(batch, "code").to_numpy()[known])], ["code"])
+        w1, w2, code = (np.concatenate([x, column(batch, name).to_numpy()[~known]]) for x, name in ((w1, "w1"), (w2, "w2"), (code, "code")))
         if not len(w1):
             continue
         like = np.concatenate([[told], (w1[1:] == w1[:-1]) & (w2[1:] == w2[:-1])])
@@ -206,7 +220,7 @@ def repeated_windows(docs: DataFrame, text: str = "text", id_: str = "doc_id", w
     whole = runs.select("doc_id", "own", "start", "size", "r1", "r2").join(often, ["r1", "r2"]).select("doc_id", "own", "start", "size", F.lit(None).cast("bigint").alias("mask"))
     distinct = runs.where("w1 is not null").dropDuplicates(["r1", "r2"]).join(often.withColumn("repeated", F.lit(True)), ["r1", "r2"], "left")
     distinct = work.keep(distinct.select(F.monotonically_increasing_id().alias("run"), F.coalesce("repeated", F.lit(False)).alias("repeated"), "doc_id", "own", "start", "size", "w1", "w2"), "distinct-runs")
-    pool = distinct.select("run", "repeated", "size", "w1", "w2").mapInArrow(partial(_exploded, run_bits), "w1 bigint, w2 int, code bigint")
+    pool = distinct.select("run", "repeated", "size", "w1", "w2").mapInArrow(partial(_exploded, run_bits), "known boolean, w1 bigint, w2 int, code bigint")
     codes = pool.repartition("w1").sortWithinPartitions("w1", "w2").mapInArrow(_met_again, "code bigint")
     bit = F.expr("shiftleft(1L, cast(code & 63 as int))")
     masks = codes.groupBy(F.shiftrightunsigned("code", run_bits).alias("run"), F.shiftright(F.col("code").bitwiseAND(F.lit((1 << run_bits) - 1)), 6).cast("int").alias("slot")).agg(F.bit_or(bit).alias("mask"))
