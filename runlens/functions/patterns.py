@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-# Class names of patterns and what Java calls them.
-CLASSES = {"alpha": "Alpha", "digit": "Digit", "alnum": "Alnum", "upper": "Upper", "lower": "Lower", "punct": "Punct", "space": "Space", "xdigit": "XDigit", "blank": "Blank", "cntrl": "Cntrl", "print": "Print", "graph": "Graph"}
-BEFORE_WORD, AFTER_WORD = "(?<![0-9A-Za-z_])", "(?![0-9A-Za-z_])"
-WORD_EDGE = r"(?:(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?![0-9A-Za-z_]))"
+from . import line_patterns
+
+#: Literals looked for before a pattern is tried; with more of them, or shorter ones, the pattern is tried at once.
+MOST_LITERALS, SHORTEST_LITERAL = 16, 3
 
 
 def glob_regex(glob: str) -> str:
@@ -42,62 +44,37 @@ def glob_match(text: Column, globs: list[str]) -> Column:
     return text.rlike("|".join(f"(?:{glob_regex(g)})" for g in globs))
 
 
-def line_regex(pattern: str, ignore_case: bool = False) -> str:
-    """A search pattern as Java's expression for one line.
-
-    Line ends are \\n alone, \\s and \\b are ASCII, (?P<n>...) and [[:class:]] are known; what only backtracking engines
-    know, and patterns that hold a line feed, are refused.
-    """
-    if "\n" in pattern or re.search(r"(?<!\\)(?:\\\\)*\\n", pattern):
-        raise ValueError("a pattern can't match a line feed: lines are searched one by one")
-    if re.search(r"\(\?(?:=|!|<=|<!|>)", pattern) or re.search(r"(?<!\\)(?:\\\\)*\\[1-9]", pattern):
-        raise ValueError("lookaround, atomic groups and backreferences are not supported")
-    out = re.sub(r"\[:(\w+):\]", lambda m: rf"\p{{{CLASSES[m[1]]}}}", pattern).replace("(?P<", "(?<")
-    parts, inside, at = [], False, 0
-    while at < len(out):
-        if out[at] == "\\" and at + 1 < len(out):
-            two = out[at : at + 2]
-            if two == r"\s":
-                two = r"\t\n\f\r " if inside else r"[\t\n\f\r ]"
-            elif two == r"\S" and not inside:
-                two = r"[^\t\n\f\r ]"
-            elif two == r"\b" and not inside:
-                two = _word_edge(parts, out[at + 2 :])
-            parts.append(two)
-            at += 2
-            continue
-        inside = out[at] == "[" or inside and out[at] != "]"
-        parts.append(out[at])
-        at += 1
-    return ("(?diu)" if ignore_case else "(?d)") + "".join(parts)
+def line_regex(pattern: str, ignore_case: bool = False, fixed: bool = False) -> str:
+    """A search pattern as Java's expression for one line; ValueError if it is no pattern, or matches a line feed."""
+    text = "(?s)" + line_patterns.java(line_patterns.parse(pattern, ignore_case, fixed))
+    session = SparkSession.getActiveSession()
+    if session is not None:  # names of classes that Java doesn't know are refused here, not in the tasks
+        try:
+            session._jvm.java.util.regex.Pattern.compile(text)
+        except IllegalArgumentException as e:
+            raise line_patterns.PatternError(f"{pattern!r}: {e}") from None
+    return text
 
 
-def _word_edge(before: list[str], after: str) -> str:
-    """An edge of a word; where a plain word character stands next to it, only the other side is looked at."""
-    if re.match(r"\w(?![*?{])", after, re.ASCII):
-        return BEFORE_WORD
-    if before and re.fullmatch(r"\w", before[-1], re.ASCII):
-        return AFTER_WORD
-    return WORD_EDGE
+def required_literals(pattern: str, ignore_case: bool = False, fixed: bool = False) -> tuple[list[str], bool]:
+    """Strings of which each matching line holds one, and whether case is ignored (they are in lower case then)."""
+    return line_patterns.required_literals(line_patterns.parse(pattern, ignore_case, fixed))
 
 
 def line_predicate(text: Column, pattern: str, fixed: bool = False, ignore_case: bool = False) -> Column:
-    """True where a line holds the pattern. A fixed string that keeps case needs no expression engine."""
-    if fixed:
-        if "\n" in pattern:
-            raise ValueError("a pattern can't match a line feed: lines are searched one by one")
-        if not ignore_case:
-            return F.contains(text, F.lit(pattern))
-        return text.rlike("(?iu)" + re.sub(r"([^0-9A-Za-z_\s])", r"\\\1", pattern))
-    found = text.rlike(line_regex(pattern, ignore_case))
-    needed = required_literal(pattern) if not ignore_case else ""
-    return F.contains(text, F.lit(needed)) & found if needed else found
-
-
-def required_literal(pattern: str) -> str:
-    """A literal that every match holds, for simple patterns only; else the empty string. An escape of a letter or digit can take what follows it."""
-    if re.search(r"[|()?*\[{]|\\[0-9A-Za-z]", pattern):
-        return ""
-    runs = re.split(r"\\.|[.^$+]", pattern)
-    # The character before + is in each match as well.
-    return max((r for r in runs), key=len, default="") if len(max(runs, key=len, default="")) > 2 else ""
+    """True where a line holds the pattern. A fixed string that keeps case needs no expression engine.
+
+    Lines without one of the literals that every match holds are passed over: a search for a string is far cheaper.
+    """
+    if fixed and not ignore_case:
+        line_patterns.parse(pattern, fixed=True)
+        return F.contains(text, F.lit(pattern))
+    found = text.rlike(line_regex(pattern, ignore_case, fixed))
+    literals, fold = required_literals(pattern, ignore_case, fixed)
+    if not literals or len(literals) > MOST_LITERALS or min(map(len, literals)) < SHORTEST_LITERAL:
+        return found
+    own = F.lower(text) if fold else text
+    held = reduce(Column.__or__, [F.contains(own, F.lit(x)) for x in literals])
+    if fold and any("s" in x for x in literals):  # the long s is in lower case already
+        held = held | F.contains(text, F.lit("\u017f"))
+    return held & found

@@ -322,6 +322,18 @@ def G1_G4_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.grep(_lines(spark, sf_dir), r"(?i)error|license|\bthe\b.*[0-9]{3,}").select("path", "line", "text")
 
 
+@query(f"WITH {_LINES} SELECT path, CAST(line AS INTEGER) AS line, text FROM lines WHERE regexp_matches(text, '^[[:upper:]][a-c&&b\\p{{Greek}}ë-ü]{{1,2}}\\w*(?i:Th|st)[^[:^alpha:]]?[\\s,.]')")
+def G4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that match an expression with classes of every kind, and with case ignored in a part."""
+    return search.grep(_lines(spark, sf_dir), r"^[[:upper:]][a-c&&b\p{Greek}ë-ü]{1,2}\w*(?i:Th|st)[^[:^alpha:]]?[\s,.]").select("path", "line", "text")
+
+
+@query(f"WITH {_LINES} SELECT path, CAST(line AS INTEGER) AS line, text FROM lines WHERE regexp_matches(text, '(?i)(licen[sc]ed under|copyright|(?:permission is hereby )+granted)[^.]*')")
+def G8_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that match one of several branches, whose literals are looked for first in any case."""
+    return search.grep(_lines(spark, sf_dir), r"(?i)(licen[sc]ed under|copyright|(?:permission is hereby )+granted)[^.]*").select("path", "line", "text")
+
+
 @query(f"WITH {_LINES} SELECT path, CAST(line AS INTEGER) AS line, text FROM lines WHERE contains(text, 'of the.')")
 def G2_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that hold a string."""

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.names import parse_location, slug
 from ..operators.derive import attribute_artifacts, from_fork, job_kind, match_originals, pr_numbers, run_facts
-from ..operators.search import lines
+from ..operators.paths import MANIFEST
 from ..schema import ATTEMPT, RUN, Tables
+from .logs import text_lines
 
 _REPO = "struct<id bigint, full_name string>"
 ATTEMPT_JSON = (
@@ -30,10 +31,10 @@ FETCH_JSON = (
 TOMBSTONE_JSON = "tombstoned_at timestamp, target string, url string, http_status int, reason string, message string, _corrupt_record string"
 
 
-def _relative(root: str) -> Column:
-    """Path below the root, as the tree names it."""
+def _relative(root: str, file: Column | None = None) -> Column:
+    """Path below the root, as the tree names it, of a file as its reader names it."""
     base = root.rstrip("/").split("://")[-1].removeprefix("file:")
-    return F.regexp_replace(F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B")), r"^.*?\Q" + base + r"\E/", "")
+    return F.regexp_replace(F.url_decode(F.regexp_replace(F.col("_metadata.file_path") if file is None else file, r"\+", "%2B")), r"^.*?\Q" + base + r"\E/", "")
 
 
 def _places(root: str, run_dirs: list[str] | None) -> str | list[str]:
@@ -82,12 +83,24 @@ def tombstones(spark: SparkSession, root: str, run_dirs: list[str] | None = None
     return read.select(*[F.col(f"_at.{c}").alias(c) for c in RUN], F.regexp_replace("_path", r"\.tombstone$", "").alias("path"), "target", "reason", "http_status", "tombstoned_at")
 
 
-def log_lines(spark: SparkSession, root: str) -> DataFrame:
-    """(run, attempt, job_id, path, line, text) of all logs. Bytes that are no UTF-8 stay; a file that went meanwhile is left out."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "log.txt").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).load(root)
-    texts = files.select(_relative(root).alias("path"), F.col("content").cast("string").alias("content")).withColumn("_at", parse_location(F.col("path")))
-    placed = texts.where("_at.job_id is not null").select(*[F.col(f"_at.{c}").alias(c) for c in (*ATTEMPT, "job_id")], "path", "content")
-    return lines(placed, "content", (*ATTEMPT, "job_id", "path"))
+def _placed_lines(spark: SparkSession, root: str, glob: str, wanted: str, keys: list[str], run_dirs: list[str] | None) -> DataFrame:
+    """Lines of the files that `wanted` takes by the parts of their path. Paths are taken apart once a file, not once a line."""
+    if run_dirs == []:
+        return _placed_lines(spark, root, glob, wanted, keys, None).limit(0)
+    read = text_lines(spark, _places(root, run_dirs), glob)
+    paths = listing(spark, root, glob, run_dirs).where(wanted).select(*keys, "path")
+    relative = _relative(root, F.col("file")).alias("path")
+    return read.select(relative, F.col("line").cast("int").alias("line"), "text").join(paths, "path").select(*keys, "path", "line", "text")
+
+
+def log_lines(spark: SparkSession, root: str, run_dirs: list[str] | None = None) -> DataFrame:
+    """(run, attempt, job_id, path, line, text) of all logs, or those of some runs' folders; see text_lines."""
+    return _placed_lines(spark, root, "log.txt", "job_id is not null and file = 'log.txt'", [*ATTEMPT, "job_id"], run_dirs)
+
+
+def extracted_lines(spark: SparkSession, root: str, run_dirs: list[str] | None = None) -> DataFrame:
+    """(run, artifact_id, path, line, text) of the files in extracted trees but their manifests."""
+    return _placed_lines(spark, root, "*", f"artifact_id is not null and file like 'extracted/%' and file <> 'extracted/{MANIFEST}'", [*RUN, "artifact_id"], run_dirs)
 
 
 def build_tables(spark: SparkSession, root: str, run_dirs: list[str] | None = None, held: list[DataFrame] | None = None) -> tuple[Tables, DataFrame]:
