@@ -11,6 +11,8 @@ from ..schema import ATTEMPT, RUN, Tables
 # Conclusions that count as a failure; events of pull requests.
 FAILING = ("failure", "cancelled", "timed_out")
 PULL_REQUESTS = ("pull_request", "pull_request_target")
+#: Runs of a workflow and branch that are looked at together.
+STRETCH = 4096
 SERIES = ["host", "repo", "workflow_id", "head_branch", "job", "step"]
 
 
@@ -103,10 +105,47 @@ def gaps(tables: Tables, f: Filter = Filter()) -> DataFrame:
     return counted_runs(tables, f).join(tables.attempts.where("attempt = 1").select(*RUN), RUN, "left_anti")
 
 
+def _on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """An equality join for which nulls are equal; the right side's keys go."""
+    named = right.select(*[F.col(c).alias(f"_{c}") if c in keys else F.col(c) for c in right.columns])
+    on = [left[c].eqNullSafe(named[f"_{c}"]) for c in keys]
+    condition = on[0]
+    for x in on[1:]:
+        condition = condition & x
+    return left.join(named, condition, how).drop(*[f"_{c}" for c in keys])
+
+
+def _span(start: str) -> Column:
+    """The month of a start: a long series is dealt to tasks by its months. Rows without a start are first."""
+    return F.date_trunc("month", start)
+
+
+def with_gap_counts(runs: DataFrame, missing: DataFrame) -> DataFrame:
+    """runs with gaps_before, how many missing runs of the same workflow and branch come before each by (start, run_id), gaps, how many there are,
+    and stretch: which STRETCH runs of the workflow and branch it is one of.
+
+    Counts are made within a month and added up over the months, so a branch with very many runs is no group in one task.
+    """
+    keys = SERIES[:4]
+    both = runs.withColumn("_gap", F.lit(False)).unionByName(missing.select(*keys, "run_id", "start", F.lit(True).alias("_gap")), allowMissingColumns=True).withColumn("_span", _span("start"))
+    inside = Window.partitionBy(*keys, "_span").orderBy("start", "run_id")
+    spans = both.groupBy(*keys, "_span").agg(F.count_if("_gap").alias("_n"), F.count("*").alias("_all"))
+    earlier = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select(*keys, "_span", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("_n", "_all")], F.sum("_n").over(Window.partitionBy(*keys)).alias("gaps"))
+    counted = _on(both.withColumns({"_inside": F.count_if("_gap").over(inside), "_nth": F.row_number().over(inside)}), spans, [*keys, "_span"]).where("not _gap")
+    counted = counted.withColumns({"gaps_before": F.col("_inside") + F.col("_n_before"), "stretch": F.floor((F.col("_nth") + F.col("_all_before")) / STRETCH)})
+    return counted.drop("_gap", "_span", "_inside", "_nth", "_n_before", "_all_before")
+
+
 def first_attempt_series(tables: Tables, f: Filter = Filter()) -> DataFrame:
-    """A row per series (workflow, branch, job, step) and run: conclusion, start, logs of failures; '' for a gap."""
+    """A row per series (workflow, branch, job, step) and run: conclusion, start, logs of failures, and the gaps of the workflow and branch.
+
+    A gap is a run without a first attempt. It stands in every series of its workflow and branch, so it is no row here: each row has the number of gaps before it
+    (gaps_before) and of all (gaps), and two rows with a gap between them differ in the former.
+    """
     first = tables.attempts.where((F.col("attempt") == 1) & ~F.col("conclusion").eqNullSafe("cancelled")).select(*RUN, F.col("run_started_at").alias("start"))
     runs = counted_runs(tables, f).select(*RUN, "workflow_id", "workflow_name", "head_branch", "head_sha").join(first, RUN)
+    runs = with_gap_counts(runs, gaps(tables, f).withColumn("start", F.col("created_at")))
     jobs = matching_jobs(tables.jobs, f).where("attempt = 1 and kind = 'ran'").select(*ATTEMPT, "job_id", "name", "conclusion", "kind", F.when(F.col("has_log"), F.col("path")).alias("path"))
     seen = observations(jobs.join(runs, RUN, "left_semi"), tables.steps)
     concluded = failing(F.col("conclusion")) | (F.col("conclusion") == "success")
@@ -117,36 +156,62 @@ def first_attempt_series(tables: Tables, f: Filter = Filter()) -> DataFrame:
         F.min(F.struct("job_id", "pos")).alias("place"),
     )
     logs = F.transform(F.filter("logs", lambda x: x["path"].isNotNull()), lambda x: x["path"])
-    own = by_run.join(runs, RUN).select(*SERIES, "run_id", "workflow_name", "head_sha", "start", "conclusion", logs.alias("logs"), F.struct("start", "run_id", "place.job_id", "place.pos").alias("seen_at"))
-    keys = own.select(*SERIES).distinct()
-    empty = F.array().cast("array<string>")
-    missing = gaps(tables, f).select("host", "repo", "workflow_id", "head_branch", "run_id", F.lit(None).cast("string").alias("workflow_name"), "head_sha", F.col("created_at").alias("start"), F.lit("").alias("conclusion"), empty.alias("logs"))
-    blocked = keys.join(missing, ["host", "repo", "workflow_id", "head_branch"]).withColumn("seen_at", F.lit(None).cast(own.schema["seen_at"].dataType))
-    return own.unionByName(blocked.select(*own.columns))
+    return by_run.join(runs, RUN).select(
+        *SERIES, "run_id", "workflow_name", "head_sha", "start", "conclusion", logs.alias("logs"), F.struct("start", "run_id", "place.job_id", "place.pos").alias("seen_at"), "gaps_before", "gaps", "stretch"
+    )
+
 
+def stretches(df: DataFrame, keys: list[str], order: list[str], stretch: Column, conclusion: str = "conclusion", apart: str | None = None) -> DataFrame:
+    """(keys, _stretch, rows, alone): the rows of each stretch of a series in their order, and of these the failures whose neighbours in the series succeed.
+
+    stretch: what deals a series to tasks; it must not fall along the order, and bounds the rows that are held at once. Neighbours beyond a stretch are the last
+    and the first row of those around it. apart: a column in which neighbours must be equal, as there is a gap between them otherwise.
+    """
+    rest = [c for c in df.columns if c not in (*keys, *order)]
+    each = df.groupBy(*keys, stretch.alias("_stretch")).agg(F.array_sort(F.collect_list(F.struct(*order, *rest))).alias("rows"))
+    w = Window.partitionBy(*keys).orderBy("_stretch")
+    around = each.withColumns({"_earlier": F.lag(F.element_at("rows", -1)).over(w), "_later": F.lead(F.element_at("rows", 1)).over(w)})
+    last = F.size("rows") - 1
 
-def isolated(df: DataFrame, keys: list[str], order: list[str], conclusion: str = "conclusion") -> DataFrame:
-    """Rows whose conclusion fails while the rows next to it, by order in their keys, succeed."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    around = df.withColumns({"_before": F.lag(conclusion).over(w), "_after": F.lead(conclusion).over(w)})
-    return around.where(failing(F.col(conclusion)) & (F.col("_before") == "success") & (F.col("_after") == "success")).drop("_before", "_after")
+    def alone(x: Column, i: Column) -> Column:
+        before = F.when(i == 0, F.col("_earlier")).otherwise(F.get("rows", i - 1))
+        after = F.when(i == last, F.col("_later")).otherwise(F.get("rows", i + 1))
+        near = [F.coalesce((y[conclusion] == "success") & (y[apart].eqNullSafe(x[apart]) if apart else F.lit(True)), F.lit(False)) for y in (before, after)]
+        return failing(x[conclusion]) & near[0] & near[1]
+
+    return around.select(*keys, "_stretch", "rows", F.filter("rows", alone).alias("alone"))
+
+
+def isolated(df: DataFrame, keys: list[str], order: list[str], conclusion: str = "conclusion", apart: str | None = None, stretch: Column | None = None) -> DataFrame:
+    """Rows whose conclusion fails while the rows next to it, by order in their keys, succeed. Without a stretch, the first of order is a time, and series are dealt by months."""
+    told = stretches(df, keys, order, _span(order[0]) if stretch is None else stretch, conclusion, apart)
+    return told.select(*keys, F.explode("alone").alias("x")).select(*keys, "x.*").select(*df.columns)
 
 
 def intermittent_failures(tables: Tables, f: Filter = Filter()) -> DataFrame:
-    """Series with failures in first attempts between two successes: name of the workflow, runs in the series, failures.
+    """Series with failures in first attempts between two successes: name of the workflow, runs in the series with its gaps, failures.
 
     Branches, workflows, events and job names make the series; commits, pull requests, conclusions and time select
-    failures only. A missing start sorts first.
+    failures only. A missing start sorts first. Observations are read once: stretches of series carry what the report says of a whole series.
     """
     series = first_attempt_series(tables, f)
-    about = series.groupBy(*SERIES).agg(F.max_by("workflow_name", "seen_at").alias("workflow_name"), F.count("*").alias("runs"), F.min("seen_at").alias("first_seen"))
-    found = isolated(series, SERIES, ["start", "run_id"])
+    # Of a success, the report needs no more than that it is there.
+    bad = failing(F.col("conclusion"))
+    lean = series.withColumns({c: F.when(bad, F.col(c)) for c in ("head_sha", "logs")})
+    told = stretches(lean, SERIES, ["start", "run_id"], F.col("stretch"), apart="gaps_before")
+    w = Window.partitionBy(*SERIES)
+    newest = F.array_max(F.transform("rows", lambda x: F.struct(x["seen_at"], x["workflow_name"])))
+    told = told.withColumns({
+        "workflow_name": F.max(newest).over(w)["workflow_name"], "runs": F.sum(F.size("rows").cast("bigint")).over(w) + F.max(F.col("rows")[0]["gaps"]).over(w),
+        "first_seen": F.min(F.array_min(F.transform("rows", lambda x: x["seen_at"]))).over(w),
+    })
+    found = told.where(F.size("alone") > 0).select(*SERIES, "workflow_name", "runs", "first_seen", F.explode("alone").alias("x"))
     if f.shas or f.prs or f.conclusions or f.since or f.until:
         chosen = of_runs(tables.runs, Filter(shas=f.shas, prs=f.prs), tables.runs)
         attempts = in_time(is_in(tables.attempts, "conclusion", f.conclusions) if f.conclusions else tables.attempts, f, "run_started_at")
-        found = found.join(chosen.select(*RUN).join(attempts.select(*RUN).distinct(), RUN, "left_semi"), RUN, "left_semi")
-    failures = found.groupBy(*SERIES).agg(F.array_sort(F.collect_list(F.struct("start", "run_id", "head_sha", "conclusion", "logs"))).alias("failures"))
-    return failures.join(about, SERIES)
+        found = found.withColumn("run_id", F.col("x.run_id")).join(chosen.select(*RUN).join(attempts.select(*RUN).distinct(), RUN, "left_semi"), RUN, "left_semi")
+    failure = F.struct("x.start", "x.run_id", "x.head_sha", "x.conclusion", "x.logs")
+    return found.groupBy(*SERIES, "workflow_name", "runs", "first_seen").agg(F.array_sort(F.collect_list(failure)).alias("failures"))
 
 
 def default_branch_runs(tables: Tables, branch: str | None = None) -> tuple[DataFrame, DataFrame]:

@@ -112,11 +112,34 @@ def test_flips_in_any_row_order(spark):
     ]
 
 
-@pytest.mark.parametrize("series,want", [("SSFSS", [2]), ("SFSFS", [1, 3]), ("SSSFF", []), ("FSS", []), ("SSF", []), ("SFFS", []), ("S", []), ("", []), ("SCS", [1]), ("STS", [1]), ("SF-FS", [])])
-def test_isolated(spark, series, want):
+def test_isolated(spark, monkeypatch):
+    """Known strings, and a long series with gaps, rows of one time and without a time, against its neighbours one by one."""
+    import random
+    from datetime import datetime, timedelta
+
     told = {"S": "success", "F": "failure", "C": "cancelled", "T": "timed_out", "-": ""}
-    df = spark.createDataFrame([(0, i, told[c]) for i, c in enumerate(series)], "k int, i int, conclusion string")
-    assert sorted(r.i for r in flakes.isolated(df, ["k"], ["i"]).collect()) == want
+    known = {"SSFSS": [2], "SFSFS": [1, 3], "SSSFF": [], "FSS": [], "SSF": [], "SFFS": [], "S": [], "": [], "SCS": [1], "STS": [1], "SF-FS": []}
+    for days in (1, 20, 70):  # neighbours in one month, in the next, and beyond an empty one
+        rows = [(x, datetime(2026, 1, 1) + timedelta(days=days * i), i, told[c]) for x in known for i, c in enumerate(x)]
+        got = flakes.isolated(spark.createDataFrame(rows, "k string, start timestamp, i int, conclusion string"), ["k"], ["start", "i"]).collect()
+        assert sorted((r.k, r.i) for r in got) == sorted((x, i) for x, own in known.items() for i in own)
+    monkeypatch.setattr(flakes, "STRETCH", 7)
+    rng = random.Random(4)
+    starts = [None] * 3 + [datetime(2026, 1, 1) + timedelta(days=rng.randrange(600)) for _ in range(400)]
+    order = sorted(range(403), key=lambda i: (starts[i] is not None, starts[i] or 0, i))
+    kind = {i: rng.choice("SSSFCG") for i in order}  # G: a gap
+    place = [("h", "r", 1, None if i % 2 else "main", "j", "", i, starts[i]) for i in order]
+    schema = "host string, repo string, workflow_id bigint, head_branch string, job string, step string, run_id bigint, start timestamp"
+    # Rows of two branches, one of them without a name, are two series.
+    want = [i for b in (0, 1) for own in [[i for i in order if i % 2 == b]] for before, i, after in zip(own, own[1:], own[2:], strict=False) if kind[i] in "FC" and kind[before] == kind[after] == "S"]
+    df = spark.createDataFrame(place, schema)
+    kinds = spark.createDataFrame([(i, told.get(c, "gap")) for i, c in kind.items()], "run_id bigint, conclusion string")
+    runs, missing = (df.join(kinds.where(f"conclusion {x} 'gap'"), "run_id") for x in ("<>", "="))
+    series = flakes.with_gap_counts(runs, missing)
+    assert {r.gaps for r in series.where("head_branch is null").collect()} == {sum(kind[i] == "G" for i in order if i % 2)}
+    assert sorted(r.run_id for r in flakes.isolated(series, flakes.SERIES, ["start", "run_id"], apart="gaps_before", stretch=F.col("stretch")).collect()) == sorted(want)
+    assert series.select("stretch").distinct().count() > 20
+    assert len(want) > 20
 
 
 def test_pages_of_listings(spark):
