@@ -9,6 +9,7 @@ from ..functions.patterns import line_predicate
 from ..plans.filters import Filter
 from ..schema import Tables
 from .paths import paths
+from .texts import first_lines
 from .where import describe
 
 #: Bytes in which a null byte marks a file as binary.
@@ -95,8 +96,10 @@ def summary(log_lines: DataFrame, pattern: str, key: str = "path", **options: bo
 
 def verified(parsed: DataFrame, log_lines: DataFrame, key: str = "path") -> DataFrame:
     """Hits (key, line, text) as verified_line: their line if it holds the text, else the first line of the file that does,
-    else null."""
-    own = log_lines.select(key, F.col("line").alias("at"), F.col("text").alias("found"))
+    else null. A hit meets its own line; only those that miss it are looked for in their file."""
     asked = parsed.select(key, "line", "text").distinct()
-    places = asked.join(own, key).where(F.contains("found", F.col("text"))).groupBy(key, "line", "text").agg(F.min(F.struct(F.col("at") != F.col("line"), "at")).alias("best"))
-    return parsed.join(places, [key, "line", "text"], "left").withColumn("verified_line", F.col("best.at")).drop("best")
+    own = asked.join(log_lines.select(key, "line", F.col("text").alias("found")), [key, "line"], "left").withColumn("held", F.coalesce(F.contains("found", F.col("text")), F.lit(False)))
+    missed = own.where("not held").select(key, "line", "text")
+    elsewhere = missed.join(first_lines(missed, log_lines, key), [key, "text"])
+    places = own.where("held").select(key, "line", "text", F.col("line").alias("at")).unionByName(elsewhere.select(key, "line", "text", "at"))
+    return parsed.join(places.withColumnRenamed("at", "verified_line"), [key, "line", "text"], "left")
