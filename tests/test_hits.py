@@ -35,7 +35,7 @@ def test_rows_of_a_hit_are_bounded_by_depth(spark):
 def test_many_hits_in_one_file(spark):
     """50 000 hits of one file meet their own lines; those that miss are found by a word, without all lines of the file for each."""
     n = 50_000
-    lines = spark.range(n).select(F.lit("p").alias("path"), (F.col("id") + 1).cast("int").alias("line"), F.concat(F.lit("at step"), F.col("id").cast("string"), F.lit(" ok then")).alias("text"))
+    lines = spark.range(n).select(F.expr("if(id >= 0, 'p', 'q')").alias("path"), (F.col("id") + 1).cast("int").alias("line"), F.concat(F.lit("at step"), F.col("id").cast("string"), F.lit(" ok then")).alias("text"))
     right = lines.where("line % 10 > 0").select("path", "line", "text")
     wrong = lines.where("line % 10 = 0").select("path", (F.col("line") + 1).alias("line"), F.substring("text", 2, 1000).alias("text"))
     lost = spark.createDataFrame([("p", 7, "no such text here"), ("q", 1, "x"), ("p", 3, "then"), ("p", 99, "")], "path string, line int, text string")
