@@ -29,9 +29,34 @@ CASES = {
     "<article><a class=share>s<p>t</p></a><p>u</p></article>": "u",
     "<p>x<!---->y</p><p>z<!-->w</p>": "xy\nzw",
     "": "",
+    "<div class=content-sidebar-wrap><article><p>Kept body</p></article><div class=sidebar>links</div></div>": "Kept body",
+    "<div class=page-menu><p>All of the text of this page stands in here.</p></div>": "All of the text of this page stands in here.",
+    "<div class='sidebar'>a<div class='content'>b</div></div><p>The text of the page is longer.</p>": "The text of the page is longer.",
+    "<article><p>Body text of it</p><ol class='commentlist'><li>I say</ol></article>": "Body text of it",
+    "<article><p>Body</p><div class='user-comments'><p>A comment that is far longer than the whole article above it</p></div></article>": "Body",
+    "<article><p>Body</p><article class='comment'><p>A comment that is far longer than the article</p></article></article>": "Body",
+    "<p>The page has a text without an article.</p><div class=comments><article class=comment>No</article></div>": "The page has a text without an article.",
+    "<article><p>Body</p><ins class='adsbygoogle'>Buy</ins><div role='Navigation'>Go</div><div style='color:red; DISPLAY: none'>no</div></article>": "Body",
+    "<p>a <select><option>1</select> b</p>": "a b",
+    "<p>a <button><div>x</div></button>b</p>": "a b",
+    "<article><p class='commentary'>A commentary</p><p class='menu-of-the-day'>Soup</p></article>": "A commentary\nSoup",
+    "<div class=footer><div class=menu>x</div></div><p>The only text</p>": "The only text",
+    "<div class=sidebar><p>left open<p>The text of the page": "left open\nThe text of the page",
 }
 
 
+@pytest.mark.parametrize(
+    "html", ["<b>" * 200_000 + "</i>" * 200_000, "<a>" * 100_000 + "<b>" * 100_000 + "</a>" * 100_000 + "x", "<div>" * 200_000 + "</span>" * 200_000, "<div class=ad>" * 100_000 + "x" + "<article>" * 50_000, "<form>" * 100_000 + "</form>" * 100_000, "<li>" * 200_000, "<p><span>" * 100_000 + "</p>" * 100_000],
+    ids=range(7),
+)
+def test_deep_markup_takes_linear_time(html):
+    import time
+
+    began = time.process_time()
+    main_text(html)
+    assert time.process_time() - began < 15
+
+
 @pytest.mark.parametrize("html", CASES)
 def test_text_of_page(html):
     assert main_text(html) == CASES[html]
