@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 
 from .batches import column
 
+#: Keys gathered before they are handed on, parts by which they are dealt (2**PART_BITS), and 64-bit words of the filter over those that occur twice.
+GATHERED, PART_BITS, FILTER_BITS = 1 << 21, 10, 20
 #: Slots of the counts of keys (2**ORDER_BITS), and those in a piece on its way to the sum.
 ORDER_BITS, PIECE = 20, 1 << 14
 #: Logarithm of a slot's count from which its keys count as hot: this, and so much above the median slot.
@@ -55,3 +57,60 @@ def key_classes(rows: DataFrame, keys: Callable[[Iterator[pa.RecordBatch]], Iter
     for r in rows.mapInArrow(count, "piece int, counts binary").repartition(12, "piece").mapInArrow(add, "piece int, classes binary").collect():
         order[r["piece"]] = np.frombuffer(r["classes"], np.uint8)
     return order.tobytes()
+
+
+def _masks(low: np.ndarray) -> np.ndarray:
+    """Four of 64 bits for each 32-bit remainder of a key."""
+    mask = np.zeros(len(low), np.uint64)
+    for i in range(4):
+        mask |= np.uint64(1) << ((low >> np.uint64(6 * i)) & np.uint64(63))
+    return mask
+
+
+def repeated_keys(rows: DataFrame, keys: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]]) -> bytes:
+    """A filter over 64-bit keys that occur twice or more, 2**FILTER_BITS numbers; see is_repeated. It lets some others pass, more of them the more keys there are.
+
+    A key travels as 32 bits in an array with others of its part, and is told from others by 32 + PART_BITS bits.
+    """
+    per_part = 1 << (FILTER_BITS - PART_BITS)
+
+    def packed(gathered: list[np.ndarray]) -> pa.RecordBatch:
+        own = np.sort(np.concatenate(gathered))
+        part, low = (own >> np.uint64(64 - PART_BITS)).astype(np.int32), (own >> np.uint64(32 - PART_BITS)).astype(np.uint32)
+        ends = np.searchsorted(part, np.arange((1 << PART_BITS) + 1))
+        filled = np.flatnonzero(np.diff(ends))
+        return pa.RecordBatch.from_arrays([pa.array(filled.astype(np.int32)), pa.array([low[ends[i] : ends[i + 1]].tobytes() for i in filled.tolist()], pa.binary())], ["part", "low"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gathered, n = [], 0
+        for own in keys(batches):
+            gathered.append(own)
+            n += len(own)
+            if n >= GATHERED:
+                yield packed(gathered)
+                gathered, n = [], 0
+        if n:
+            yield packed(gathered)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for i, raw in zip(column(batch, "part").to_pylist(), column(batch, "low").to_pylist(), strict=True):
+                met.setdefault(i, []).append(raw)
+        for i, raw in met.items():
+            low = np.sort(np.frombuffer(b"".join(raw), np.uint32)).astype(np.uint64)
+            low = low[1:][low[1:] == low[:-1]]
+            table = np.zeros(per_part, np.uint64)
+            np.bitwise_or.at(table, (low >> np.uint64(32 - FILTER_BITS + PART_BITS)).astype(np.int64), _masks(low))
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([table.tobytes()], pa.binary())], ["part", "bits"])
+
+    filled = np.zeros((1 << PART_BITS, per_part), np.uint64)
+    for r in rows.mapInArrow(gather, "part int, low binary").repartition("part").mapInArrow(find, "part int, bits binary").toLocalIterator():
+        filled[r["part"]] = np.frombuffer(r["bits"], np.uint64)
+    return filled.tobytes()
+
+
+def is_repeated(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """False for keys that certainly occur once."""
+    mask = _masks((keys >> np.uint64(32 - PART_BITS)) & np.uint64(0xFFFFFFFF))
+    return (table[(keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] & mask) == mask
