@@ -67,8 +67,9 @@ def _masks(low: np.ndarray) -> np.ndarray:
     return mask
 
 
-def repeated_keys(rows: DataFrame, keys: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]]) -> bytes:
-    """A filter over 64-bit keys that occur twice or more, 2**FILTER_BITS numbers; see is_repeated. It lets some others pass, more of them the more keys there are.
+def repeated_keys(rows: DataFrame, keys: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], hot: int) -> bytes:
+    """Two filters of 2**FILTER_BITS numbers for is_in: over 64-bit keys that occur twice or more, and over those that occur `hot` times or more. They let some
+    others pass, more of them the more keys there are.
 
     A key travels as 32 bits in an array with others of its part, and is told from others by 32 + PART_BITS bits.
     """
@@ -99,18 +100,19 @@ def repeated_keys(rows: DataFrame, keys: Callable[[Iterator[pa.RecordBatch]], It
                 met.setdefault(i, []).append(raw)
         for i, raw in met.items():
             low = np.sort(np.frombuffer(b"".join(raw), np.uint32)).astype(np.uint64)
-            low = low[1:][low[1:] == low[:-1]]
-            table = np.zeros(per_part, np.uint64)
-            np.bitwise_or.at(table, (low >> np.uint64(32 - FILTER_BITS + PART_BITS)).astype(np.int64), _masks(low))
+            table = np.zeros((2, per_part), np.uint64)
+            for k, n in enumerate((2, hot)):
+                own = low[n - 1 :][low[n - 1 :] == low[: len(low) - n + 1]] if len(low) >= n else low[:0]
+                np.bitwise_or.at(table[k], (own >> np.uint64(32 - FILTER_BITS + PART_BITS)).astype(np.int64), _masks(own))
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([table.tobytes()], pa.binary())], ["part", "bits"])
 
-    filled = np.zeros((1 << PART_BITS, per_part), np.uint64)
+    filled = np.zeros((2, 1 << PART_BITS, per_part), np.uint64)
     for r in rows.mapInArrow(gather, "part int, low binary").repartition("part").mapInArrow(find, "part int, bits binary").toLocalIterator():
-        filled[r["part"]] = np.frombuffer(r["bits"], np.uint64)
+        filled[:, r["part"]] = np.frombuffer(r["bits"], np.uint64).reshape(2, -1)
     return filled.tobytes()
 
 
-def is_repeated(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """False for keys that certainly occur once."""
+def is_in(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """False for keys that the filter certainly has not."""
     mask = _masks((keys >> np.uint64(32 - PART_BITS)) & np.uint64(0xFFFFFFFF))
     return (table[(keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] & mask) == mask
