@@ -103,6 +103,7 @@ def linked_components(spark: SparkSession, buckets: DataFrame, bounds: Callable,
         return known
     open_ = sent(open_)
     rest = work.keep(with_roots(met.join(open_, "key", "left_semi").select("key", "x", F.col("x.node").alias("node")), roots), "open-buckets")
+    work.drop(met)
     # Parts of a bucket can have come apart: what is left of it meets its one least member before members meet each other.
     head = rest.groupBy("key").agg(F.min(F.struct("x", "root")).alias("h")).select("key", F.col("h.x").alias("y"), F.col("h.root").alias("s"))
     again = rest.join(head, "key").where((F.col("root") != F.col("s")) & bounds(F.col("x"), F.col("y"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
