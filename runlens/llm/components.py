@@ -89,6 +89,7 @@ def linked_components(spark: SparkSession, buckets: DataFrame, bounds: Callable,
     w = Window.partitionBy("key", "part")
     led = dealt.withColumns({"y": F.min("x").over(w), "size": F.count(F.lit(1)).over(w)}).where("size > 1 or hot")
     met = work.keep(led.select("key", "hot", "part", "x", "y"), "buckets")
+    work.release()
     dealt_keys = met.where("hot").select("key").distinct()
     heads = met.where(F.col("x.node") == F.col("y.node")).join(dealt_keys, "key", "left_semi").select("key", "x").distinct()
     to_head = heads.join(heads.groupBy("key").agg(F.min("x").alias("y")), "key").select("x", "y")
@@ -104,6 +105,7 @@ def linked_components(spark: SparkSession, buckets: DataFrame, bounds: Callable,
     open_ = sent(open_)
     rest = work.keep(with_roots(met.join(open_, "key", "left_semi").select("key", "x", F.col("x.node").alias("node")), roots), "open-buckets")
     work.drop(met)
+    work.release()
     # Parts of a bucket can have come apart: what is left of it meets its one least member before members meet each other.
     head = rest.groupBy("key").agg(F.min(F.struct("x", "root")).alias("h")).select("key", F.col("h.x").alias("y"), F.col("h.root").alias("s"))
     again = rest.join(head, "key").where((F.col("root") != F.col("s")) & bounds(F.col("x"), F.col("y"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
@@ -111,7 +113,10 @@ def linked_components(spark: SparkSession, buckets: DataFrame, bounds: Callable,
     links = work.keep(links.unionByName(verify(again)), "more-links")
     tried = work.keep(tried.unionByName(again), "tried")
     known = work.keep(connected_components(links, work), "head-components")
-    rest = work.keep(with_roots(rest.drop("root"), sent(known)), "open-members")
+    members = work.keep(with_roots(rest.drop("root"), sent(known)), "open-members")
+    work.drop(rest)
+    work.release()
+    rest = members
     # Members of a large bucket are dealt to blocks, and each two blocks meet in a place of their own.
     sizes = rest.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("key", "blocks")
     placed = rest.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))

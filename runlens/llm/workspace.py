@@ -45,6 +45,10 @@ class Workspace:
             path = jvm.org.apache.hadoop.fs.Path(df.kept_at)
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
+    def release(self) -> None:
+        """Lets Spark's cleaner delete the shuffle files of tables that are written by now; it does so only when the driver's JVM collects its garbage."""
+        self.spark.sparkContext._jvm.System.gc()
+
 
 def without_ascii_case(c: Column) -> Column:
     """Lower-cases A-Z alone."""
