@@ -67,25 +67,29 @@ def _masks(low: np.ndarray) -> np.ndarray:
     return mask
 
 
-def repeated_keys(rows: DataFrame, keys: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], hot: int) -> bytes:
-    """Two filters of 2**FILTER_BITS numbers for is_in: over 64-bit keys that occur twice or more, and over those that occur `hot` times or more. They let some
+def repeated_keys(rows: DataFrame, keys: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray, np.ndarray]]], hot: int) -> bytes:
+    """Two filters of 2**FILTER_BITS numbers for is_in: over 64-bit keys that two owners or more have, and over those that `hot` or more have. They let some
     others pass, more of them the more keys there are.
 
-    A key travels as 32 bits in an array with others of its part, and is told from others by 32 + PART_BITS bits.
+    keys: batches → (keys, hashes of their owners). A key travels as 32 bits in an array with others of its part, and is told from others by
+    32 + PART_BITS bits; its owner, which may come from many tasks, as 16 bits, so that of 65 536 keys of two owners alone one is missed.
     """
     per_part = 1 << (FILTER_BITS - PART_BITS)
 
-    def packed(gathered: list[np.ndarray]) -> pa.RecordBatch:
-        own = np.sort(np.concatenate(gathered))
+    def packed(gathered: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        own, owner = (np.concatenate(x) for x in zip(*gathered, strict=True))
+        order = np.argsort(own)
+        own, owner = own[order], owner[order].astype(np.uint16)
         part, low = (own >> np.uint64(64 - PART_BITS)).astype(np.int32), (own >> np.uint64(32 - PART_BITS)).astype(np.uint32)
         ends = np.searchsorted(part, np.arange((1 << PART_BITS) + 1))
         filled = np.flatnonzero(np.diff(ends))
-        return pa.RecordBatch.from_arrays([pa.array(filled.astype(np.int32)), pa.array([low[ends[i] : ends[i + 1]].tobytes() for i in filled.tolist()], pa.binary())], ["part", "low"])
+        pieces = [pa.array([x[ends[i] : ends[i + 1]].tobytes() for i in filled.tolist()], pa.binary()) for x in (low, owner)]
+        return pa.RecordBatch.from_arrays([pa.array(filled.astype(np.int32)), *pieces], ["part", "low", "owner"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gathered, n = [], 0
-        for own in keys(batches):
-            gathered.append(own)
+        for own, owner in keys(batches):
+            gathered.append((own, owner))
             n += len(own)
             if n >= GATHERED:
                 yield packed(gathered)
@@ -94,12 +98,13 @@ def repeated_keys(rows: DataFrame, keys: Callable[[Iterator[pa.RecordBatch]], It
             yield packed(gathered)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: dict[int, list[bytes]] = {}
+        met: dict[int, list[tuple[bytes, bytes]]] = {}
         for batch in batches:
-            for i, raw in zip(column(batch, "part").to_pylist(), column(batch, "low").to_pylist(), strict=True):
-                met.setdefault(i, []).append(raw)
+            for i, *raw in zip(column(batch, "part").to_pylist(), column(batch, "low").to_pylist(), column(batch, "owner").to_pylist(), strict=True):
+                met.setdefault(i, []).append(tuple(raw))
         for i, raw in met.items():
-            low = np.sort(np.frombuffer(b"".join(raw), np.uint32)).astype(np.uint64)
+            low, owner = np.frombuffer(b"".join(x for x, _ in raw), np.uint32).astype(np.uint64), np.frombuffer(b"".join(x for _, x in raw), np.uint16).astype(np.uint64)
+            low = np.unique(low << np.uint64(16) | owner) >> np.uint64(16)
             table = np.zeros((2, per_part), np.uint64)
             for k, n in enumerate((2, hot)):
                 own = low[n - 1 :][low[n - 1 :] == low[: len(low) - n + 1]] if len(low) >= n else low[:0]
@@ -107,7 +112,7 @@ def repeated_keys(rows: DataFrame, keys: Callable[[Iterator[pa.RecordBatch]], It
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([table.tobytes()], pa.binary())], ["part", "bits"])
 
     filled = np.zeros((2, 1 << PART_BITS, per_part), np.uint64)
-    for r in rows.mapInArrow(gather, "part int, low binary").repartition("part").mapInArrow(find, "part int, bits binary").toLocalIterator():
+    for r in rows.mapInArrow(gather, "part int, low binary, owner binary").repartition("part").mapInArrow(find, "part int, bits binary").toLocalIterator():
         filled[:, r["part"]] = np.frombuffer(r["bits"], np.uint64).reshape(2, -1)
     return filled.tobytes()
 
