@@ -29,8 +29,10 @@ class Limits:
     nesting: int = 8
 
 
-# Bytes of a name and of a path, and parts of a path, at most.
-MOST_NAME, MOST_PATH, MOST_PARTS = 200, 512, 32
+# Bytes of a name and of a path, and parts of a path, at most; bytes that a joined name keeps; names that a search tool obeys; the name that the manifest takes.
+MOST_NAME, MOST_PATH, MOST_PARTS, JOINED = 200, 512, 32, 60
+OBEYED, OBEYED_MARK = (".ignore", ".rgignore", ".gitignore"), "~lg"
+MANIFEST = "manifest.json"
 MEMBER = "path string, inner_path string, archive string, name string, status string, reason string, note string, bytes bigint, content binary"
 _NAMES = [x.split(" ")[0] for x in MEMBER.split(", ")]
 
@@ -40,48 +42,74 @@ def _slug(name: str) -> str:
     return re.sub("[-.]+$", "", re.sub("^[-.]+|[-.]+$", "", re.sub("[^A-Za-z0-9.]+", "-", name))[:60]) or "none"
 
 
-def _safe_parts(name: str) -> tuple[list[str], str, str]:
-    """Parts of a member's name, why it has none, and why they differ from the name."""
-    if name.startswith(("/", "\\")) or name[1:3] in (":\\", ":/"):
+def _fold(name: str) -> str:
+    """One text for all names that a file system may take for one."""
+    return unicodedata.normalize("NFC", name).lower()
+
+
+def _bytes(text: str) -> int:
+    return len(text.encode("utf-8", "surrogatepass"))
+
+
+def _safe_part(part: str, last: bool) -> tuple[str, str]:
+    """A part as it can be written, and why it differs."""
+    if any(c < " " or c == "\x7f" or "\ud800" <= c <= "\udfff" for c in part):
+        return _slug(part), "invalid"
+    if _bytes(part) > MOST_NAME:
+        return _slug(part), "too_long"
+    return (part + OBEYED_MARK, "rg_ignore_file") if last and _fold(part) in OBEYED else (part, "")
+
+
+def _safe_parts(name: str, below: str = "") -> tuple[list[str], str, str]:
+    """Parts of a member's name, why it has none, and the first reason for which they differ from the name; `below`: the folder that its archive goes into."""
+    if name.startswith("/"):
         return [], "absolute", ""
-    parts = [p for p in posixpath.normpath(name.replace("\\", "/")).split("/") if p not in ("", ".")]
-    if ".." in parts or not parts:
+    clean = posixpath.normpath(name)
+    if clean.split("/")[0] == "..":
         return [], "outside", ""
-    note = "" if "/".join(parts) == name else "normalized"
-    for i, part in enumerate(parts):
-        if any(unicodedata.category(c)[0] == "C" for c in part):
-            parts[i], note = _slug(part), note or "invalid"
-        elif len(part.encode("utf-8", "replace")) > MOST_NAME:
-            parts[i], note = _slug(part), note or "too_long"
-    if len(parts) > MOST_PARTS:
-        parts, note = [*parts[: MOST_PARTS - 1], _slug("/".join(parts[MOST_PARTS - 1 :]))], note or "too_deep"
-    size = lambda own: len("/".join(own).encode("utf-8", "replace"))
-    if size(parts) > MOST_PATH:
-        keep = len(parts) - 1
-        while keep and size(parts[:keep]) + 61 > MOST_PATH:
-            keep -= 1
-        parts, note = [*parts[:keep], _slug("/".join(parts[keep:]))], note or "too_long"
-    return parts, "", note
+    if clean == ".":
+        return ["none"], "", "invalid"
+    notes = [] if clean == re.sub(r"^(\./)+|/$", "", name) else ["normalized"]
+    parts = clean.split("/")
+    made = [_safe_part(part, i == len(parts)) for i, part in enumerate(parts, 1)]
+    notes += [why for _, why in made if why]
+    parts = [part for part, _ in made]
+    base = below.split("/") if below else []
+    if len(base) + len(parts) > MOST_PARTS:
+        keep, why = MOST_PARTS - len(base) - 1, "too_deep"
+        parts, notes = [*parts[:keep], _slug("/".join(parts[keep:]))], [*notes, why]
+    if _bytes("/".join([*base, *parts])) > MOST_PATH:
+        fits = [k for k in range(len(parts)) if _bytes("/".join([*base, *parts[:k]])) + 1 + JOINED <= MOST_PATH]
+        keep = max(fits, default=0)
+        parts, notes = [*parts[:keep], _slug("/".join(parts[keep:]))], [*notes, "too_long"]
+    return parts, "", next(iter(notes), "")
 
 
 class _Names:
-    """Names taken so far; a name that differs in case or composition only gets ~2, ~3, ... before its extension."""
-
-    def __init__(self) -> None:
-        self.taken: set[str] = set()
-        self.next: dict[str, int] = {}
+    """Names given so far in each folder. A file takes no name that a file or a folder there has, whatever its case or composition, and neither does a new
+    folder; ~1, ~2, ... come behind the whole name. Members of one folder meet in it again, renamed or not."""
+
+    def __init__(self, below: str = "") -> None:
+        self.taken = set() if below else {("", _fold(MANIFEST))}
+        self.folders: dict[tuple[str, str], str] = {}
+        self.tried: dict[tuple[str, str], int] = {}
+
+    def _fresh(self, folder: str, name: str) -> str:
+        key, given = (folder, _fold(name)), name
+        while (folder, _fold(given)) in self.taken:
+            n = self.tried[key] = self.tried.get(key, 0) + 1
+            mark = f"~{n}"
+            given = name.encode("utf-8", "surrogatepass")[: MOST_NAME - len(mark)].decode("utf-8", "ignore") + mark
+        self.taken.add((folder, _fold(given)))
+        return given
 
     def take(self, parts: list[str]) -> str:
-        name = "/".join(parts)
-        fold = lambda x: unicodedata.normalize("NFC", x).casefold()
-        key, given = fold(name), name
-        stem, dot, extension = parts[-1].rpartition(".")
-        while fold(given) in self.taken:
-            n = self.next[key] = self.next.get(key, 1) + 1
-            last = f"{stem}~{n}.{extension}" if dot and stem else f"{parts[-1]}~{n}"
-            given = "/".join([*parts[:-1], last])
-        self.taken.add(fold(given))
-        return given
+        at = ""
+        for part in parts[:-1]:
+            if (at, part) not in self.folders:
+                self.folders[at, part] = self._fresh(at, part)
+            at = posixpath.join(at, self.folders[at, part])
+        return posixpath.join(at, self._fresh(at, parts[-1]))
 
 
 def _zip_members(content: bytes) -> Iterator[tuple[str, str, int, Callable[[int], bytes]]]:
@@ -118,10 +146,11 @@ def _expand(path: str, archive: str, content: bytes, limits: Limits) -> Iterator
 
     No member is read beyond the bytes that are left, so what a small archive unpacks to doesn't matter.
     """
-    names, total, files = _Names(), 0, 0
+    below = f"{archive}.d" if archive else ""
+    names, total, files = _Names(below), 0, 0
     try:
         for name, why, mode, read in _zip_members(content) if content[:4] == b"PK\x03\x04" else _tar_members(content):
-            parts, bad, note = _safe_parts(name)
+            parts, bad, note = _safe_parts(name, below)
             if not (why or bad):
                 try:
                     data = read(limits.bytes - total + 1)
@@ -140,7 +169,7 @@ def _expand(path: str, archive: str, content: bytes, limits: Limits) -> Iterator
             given = names.take(parts)
             note = note or ("collision" if given != "/".join(parts) else "")
             notes = [note, "setuid_dropped" if mode & 0o6000 else ""]
-            yield path, posixpath.join(f"{archive}.d", given) if archive else given, archive, name, "extracted", None, ",".join(filter(None, notes)) or None, len(data), data
+            yield path, posixpath.join(below, given), archive, name, "extracted", None, ",".join(filter(None, notes)) or None, len(data), data
     except (zipfile.BadZipFile, tarfile.TarError, EOFError, OSError, ValueError, zlib.error) as e:
         if files:
             yield path, None, archive, None, "not_expanded", "partial", None, 0, None

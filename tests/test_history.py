@@ -263,7 +263,7 @@ def test_archives(spark):
     rows = spark.createDataFrame([("p", bytearray(outer.getvalue())), ("broken", bytearray(b"PK\x03\x04nonsense"))], "path string, content binary")
     got = archives.expand(rows)
     told = {(r.path, r.inner_path, r.status, r.reason) for r in got.collect()}
-    assert ("p", "a.txt", "extracted", None) in told and ("p", "A~2.txt", "extracted", None) in told
+    assert ("p", "a.txt", "extracted", None) in told and ("p", "A.txt~1", "extracted", None) in told
     assert ("p", "n.zip.d/deep.txt", "extracted", None) in told
     assert ("p", "../x", "skipped", "outside") in told and ("p", "link", "skipped", "symlink") in told
     assert ("broken", None, "rejected", "artifact rejected") in told
@@ -305,3 +305,24 @@ def test_damaged_and_deep_archives(spark):
     assert ("a", "extracted", None, "setuid_dropped") in of("cut") and (None, "not_expanded", "partial", None) in of("cut")
     assert {p for p, *_ in of("deep")} == {"level3.bin", "level3.bin.d/level2.bin", "level3.bin.d/level2.bin.d/level1.bin", None} and (None, "not_expanded", "nesting", None) in of("deep")
     assert of("bomb") == [(None, "rejected", "artifact rejected", None)]
+
+
+def test_names_of_members():
+    """One note a name, the first that applies; names that meet in one folder, folders included."""
+    odd = "re\u200dport.txt"
+    cases = {
+        "./a": (["a"], "", ""), "a/": (["a"], "", ""), "a//b": (["a", "b"], "", "normalized"), "x/../a": (["a"], "", "normalized"), ".": (["none"], "", "invalid"), "/a": ([], "absolute", ""),
+        "../a": ([], "outside", ""), "a/../../b": ([], "outside", ""), "..a": (["..a"], "", ""), odd: ([odd], "", ""), "a\nb": (["a-b"], "", "invalid"), "bad\udc80": (["bad"], "", "invalid"),
+        ".gitignore": ([".gitignore~lg"], "", "rg_ignore_file"), "d/.IGNORE": (["d", ".IGNORE~lg"], "", "rg_ignore_file"), ".ignore/f": ([".ignore", "f"], "", ""), "a\\b": (["a\\b"], "", ""),
+    }
+    assert {k: archives._safe_parts(k) for k in cases} == cases
+    assert archives._safe_parts("/".join("d" * 31), "n.zip.d")[0] == ["d"] * 31
+    assert archives._safe_parts("/".join("d" * 32), "n.zip.d")[::2] == (["d"] * 30 + ["d-d"], "too_deep")
+    long = "/".join(["x" * 190] * 3)
+    parts, _, note = archives._safe_parts(long)
+    assert note == "too_long" and parts == ["x" * 190] * 2 + ["x" * 60]
+    taken = archives._Names()
+    wanted = ["a.txt", "A.txt", "a.TXT", "manifest.json", "a.txt/b", "a.txt/c", "A.TXT/b", "n/x", "n", "n/y", "caf\u00e9", "cafe\u0301", "n~1"]
+    given = ["a.txt", "A.txt~1", "a.TXT~2", "manifest.json~1", "a.txt~3/b", "a.txt~3/c", "A.TXT~4/b", "n/x", "n~1", "n/y", "caf\u00e9", "cafe\u0301~1", "n~1~1"]
+    assert [taken.take(x.split("/")) for x in wanted] == given
+    assert archives._Names("n.zip.d").take(["manifest.json"]) == "manifest.json"
