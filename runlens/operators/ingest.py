@@ -133,16 +133,19 @@ def discovery_set(windows: list[DataFrame], statuses: DataFrame, rescanned: Data
     return listed, bad
 
 
-def check_pages(pages: DataFrame, items: str, id_: str = "id") -> tuple[DataFrame, DataFrame]:
+def check_pages(pages: DataFrame, items: str, id_: str = "id", needed: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(elements, rejected listings) of landed pages: listing, total_count, and the array `items`.
 
-    A listing is rejected if it has fewer elements than it counts, an element without an id, or one id twice.
+    A listing is rejected if it has fewer elements than it counts, an element without an id (or one below 1), one id twice, or an element that lacks one of
+    the `needed` fields, as artifacts need created_at.
     """
     each = pages.select("listing", "total_count", F.posexplode_outer(items).alias("pos", "item"))
-    numbers = each.groupBy("listing").agg(
-        F.max("total_count").alias("total"), F.count("item").alias("n"), F.count(F.col(f"item.{id_}")).alias("with_id"), F.count_distinct(F.col(f"item.{id_}")).alias("distinct_ids")
-    )
+    known = F.when(F.col(f"item.{id_}") > 0, F.col(f"item.{id_}"))
+    lacks = [F.count_if(F.col("item").isNotNull() & F.col(f"item.{c}").isNull()).alias(f"without_{c}") for c in needed]
+    numbers = each.groupBy("listing").agg(F.max("total_count").alias("total"), F.count("item").alias("n"), F.count(known).alias("with_id"), F.count_distinct(known).alias("distinct_ids"), *lacks)
     why = F.when(F.col("with_id") < F.col("n"), "missing id").when(F.col("distinct_ids") < F.col("n"), "duplicate id").when(F.col("n") < F.col("total"), "fewer than counted")
+    for c in needed:
+        why = why.when(F.col(f"without_{c}") > 0, f"missing {c}")
     judged = numbers.withColumn("reason", why)
     good = each.where("item is not null").join(judged.where("reason is null").select("listing"), "listing", "left_semi")
     return good.select("listing", "pos", "item.*"), judged.where("reason is not null").select("listing", "reason", "n", "total")

@@ -13,6 +13,7 @@ from .operators import derive, flakes, freshness, ingest, paths, retention, sear
 from .plans.ci_view import ci_tables, ci_view, with_views
 from .plans.filters import Filter, latest_conclusion, units
 from .schema import RUN
+from .sources import sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -187,6 +188,17 @@ SELECT r.repo, f.run_id, r.head_sha, f.job, f.step, f.outcomes, CASE WHEN f.step
 FROM flips f JOIN ci_runs r ON r.run_id = f.run_id LEFT JOIN bad_steps b ON b.run_id = f.run_id AND b.job = f.job LEFT JOIN logs l ON l.run_id = f.run_id AND l.job = f.job AND l.step = f.step
 """)
 
+@query()
+def K3_O2_flip_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of a report on flips."""
+    return sinks.flip_text(flakes.rerun_flips(ci_tables(spark, sf_dir)))
+
+
+ORACLE_SQL["K3_O2_flip_text"] = (
+    "SELECT concat('run ', run_id, ' (sha ', substring(head_sha, 1, 7), '): \"', job, '\"', CASE WHEN step <> '' THEN concat(' / \"', step, '\"') ELSE '' END, ': ', outcomes, "
+    f"CASE WHEN failing_steps <> '' THEN concat('; failing steps: \"', replace(failing_steps, ',', '\", \"'), '\"') ELSE '' END) AS value FROM ({ORACLE_SQL['Q2_A2_rerun_flips']}) AS flip"
+)
+
 _SERIES = """
 , counted AS (SELECT r.* FROM ci_runs r LEFT JOIN ci_attempts a ON a.run_id = r.run_id AND a.attempt = a.latest WHERE r.event NOT IN ('pull_request', 'pull_request_target') AND r.head_branch = 'main' AND NOT r.from_fork AND a.conclusion IS DISTINCT FROM 'cancelled'),
 seen AS (SELECT run_id, attempt, job_id, name AS job, '' AS step, -1 AS pos, conclusion, kind FROM ci_jobs

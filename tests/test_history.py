@@ -23,7 +23,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", ["F4_workflows", "F7_job_globs", "Q1_U1_paths", "Q2_A2_rerun_flips", "Q3_W1_W2_intermittent", "G1_G4_regex", "J9_match_original", "J10_J11_attribution", "Q8_R1_R4_retention", "A12_stuck_units", "J20_reconcile", "Q5_N9_J13_where", "N24_G12_place_hits", "F13_many_shas", "F13_many_prs", "P8_P9_digests", "R2_evicted_trees", "N17_T5_listing_windows", "T8_T9_discovery", "Q7_T12_T14_status", "Q1_extracted_and_run_files", "Q4_findings"])
+@pytest.mark.parametrize("name", ["F4_workflows", "F7_job_globs", "Q1_U1_paths", "Q2_A2_rerun_flips", "K3_O2_flip_text", "Q3_W1_W2_intermittent", "G1_G4_regex", "J9_match_original", "J10_J11_attribution", "Q8_R1_R4_retention", "A12_stuck_units", "J20_reconcile", "Q5_N9_J13_where", "N24_G12_place_hits", "F13_many_shas", "F13_many_prs", "P8_P9_digests", "R2_evicted_trees", "N17_T5_listing_windows", "T8_T9_discovery", "Q7_T12_T14_status", "Q1_extracted_and_run_files", "Q4_findings"])
 def test_query_equals_sql(spark, duck, name):
     df = queries.QUERIES[name](spark, SF)
     c = duck.execute(queries.ORACLE_SQL[name])
