@@ -19,7 +19,7 @@ def far(tmp_path_factory):
     return con, str(folder)
 
 
-@pytest.mark.parametrize("name", ["J15_U3_retry_set"])
+@pytest.mark.parametrize("name", ["J15_U3_retry_set", "T7_rebuilt_pending"])
 def test_keys_beyond_32_bits(spark, far, name):
     con, folder = far
     df = queries.QUERIES[name](spark, folder)
