@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from runlens import queries, state_queries  # noqa: F401
+from runlens.plans import ci_view
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,3 +26,9 @@ def test_keys_beyond_32_bits(spark, far, name):
     df = queries.QUERIES[name](spark, folder)
     want = con.execute(queries.ORACLE_SQL[name]).fetchall()
     assert sorted(map(tuple, df.collect())) == sorted(want) and want
+
+
+@pytest.mark.parametrize("view", ["ci_runs", "ci_jobs", "ci_attempts", "ci_artifacts"])
+def test_tasks_follow_the_bytes_of_files(spark, monkeypatch, view):
+    monkeypatch.setattr(ci_view, "TASK_BYTES", 4000)
+    assert ci_view.ci_view(spark, SF, view).rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
