@@ -72,12 +72,14 @@ def rerun_flips(tables: Tables, f: Filter = Filter()) -> DataFrame:
         fit = in_time(is_in(tables.attempts, "conclusion", f.conclusions) if f.conclusions else tables.attempts, f, "run_started_at")
         runs = runs.join(fit.select(*RUN).distinct(), RUN, "left_semi")
     jobs = matching_jobs(tables.jobs, f).select(*ATTEMPT, "job_id", "name", "conclusion", "kind", F.when(F.col("has_log"), F.col("path")).alias("path"))
-    jobs = jobs.join(runs, RUN, "left_semi")
+    if f != Filter(jobs=f.jobs):
+        jobs = jobs.join(runs, RUN, "left_semi")
     name = [*RUN, "job", "step"]
-    # One exchange by run serves all that follows; logs are gathered only for jobs of which something failed and succeeded.
-    seen = observations(jobs, tables.steps).repartition(*RUN)
-    both = seen.where("kind = 'ran'").groupBy(*name).agg(F.bool_or(failing(F.col("conclusion"))).alias("bad"), F.bool_or(F.col("conclusion") == "success").alias("good"))
-    by_attempt = outcomes(seen.join(both.where("bad and good").select(*RUN, "job").distinct(), [*RUN, "job"], "left_semi"))
+    # Only what ran under one name in two attempts can flip, which jobs tell before their steps are read; steps are read once.
+    same, ran = Window.partitionBy(*RUN, "name"), F.when(F.col("kind") == "ran", F.col("attempt"))
+    jobs = jobs.withColumns({"_least": F.min(ran).over(same), "_most": F.max(ran).over(same)}).where("_least < _most").drop("_least", "_most")
+    # One exchange by run serves all that follows.
+    by_attempt = outcomes(observations(jobs, tables.steps).repartition(*RUN))
     flips = by_attempt.groupBy(*name).agg(
         F.array_sort(F.collect_list(F.when(F.col("outcome").isNotNull(), F.struct("attempt", F.col("outcome").alias("conclusion"))))).alias("outcomes"),
         F.collect_list(F.transform("logs", lambda x: F.struct("attempt", x["job_id"].alias("job_id"), x["path"].alias("path")))).alias("logs"),
@@ -86,11 +88,12 @@ def rerun_flips(tables: Tables, f: Filter = Filter()) -> DataFrame:
         F.bool_or(failing(F.col("outcome"))).alias("failed"),
         F.bool_or(F.col("outcome") == "success").alias("passed"),
     )
-    steps = flips.where((F.col("step") != "") & F.col("failed_at").isNotNull()).groupBy(*RUN, "job").agg(F.transform(F.array_sort(F.collect_list(F.struct("failed_at", "step"))), lambda x: x["step"]).alias("failing_steps"))
+    failed_step = F.when((F.col("step") != "") & F.col("failed_at").isNotNull(), F.struct("failed_at", "step"))
+    flips = flips.withColumn("failing_steps", F.transform(F.array_sort(F.collect_list(failed_step).over(Window.partitionBy(*RUN, "job"))), lambda x: x["step"]))
     none = F.array().cast("array<string>")
     logs = F.transform(F.array_sort(F.filter(F.flatten("logs"), lambda x: x["path"].isNotNull())), lambda x: x["path"])
-    found = flips.where("failed and passed").join(steps, [*RUN, "job"], "left").join(runs, RUN)
-    return found.select(*RUN, "head_sha", "job", "step", "outcomes", logs.alias("logs"), F.when(F.col("step") == "", F.coalesce("failing_steps", none)).otherwise(none).alias("failing_steps"), "first_seen")
+    found = flips.where("failed and passed").join(runs, RUN)
+    return found.select(*RUN, "head_sha", "job", "step", "outcomes", logs.alias("logs"), F.when(F.col("step") == "", F.col("failing_steps")).otherwise(none).alias("failing_steps"), "first_seen")
 
 
 def counted_runs(tables: Tables, f: Filter) -> DataFrame:

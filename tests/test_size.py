@@ -1,9 +1,12 @@
 """Queries on tables whose keys and groups are those of large inputs."""
 
+from dataclasses import replace
+
 import duckdb
 import pytest
 
 from runlens import queries, state_queries  # noqa: F401
+from runlens.operators import flakes
 from runlens.plans import ci_view
 
 SF = "/root/testdata/sf0.001"
@@ -32,3 +35,10 @@ def test_keys_beyond_32_bits(spark, far, name):
 def test_tasks_follow_the_bytes_of_files(spark, monkeypatch, view):
     monkeypatch.setattr(ci_view, "TASK_BYTES", 4000)
     assert ci_view.ci_view(spark, SF, view).rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+
+
+def test_flips_read_steps_once(spark, tmp_path):
+    tables = ci_view.ci_tables(spark, SF)
+    tables.steps.write.parquet(str(tmp_path / "steps"))
+    plan = flakes.rerun_flips(replace(tables, steps=spark.read.parquet(str(tmp_path / "steps"))))._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Relation" in line and "number#" in line for line in plan.splitlines()) == 1
