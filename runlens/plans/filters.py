@@ -13,6 +13,8 @@ from ..schema import ATTEMPT, RUN, Tables
 
 #: Values of a field up to which they stand in the plan; more are joined.
 MOST_LITERALS = 1000
+#: Globs up to which each row's name is held against them; with more, each distinct name once.
+MOST_GLOBS = 16
 
 
 @dataclass(frozen=True)
@@ -83,7 +85,11 @@ def in_time(df: DataFrame, f: Filter, when: str) -> DataFrame:
 
 def matching_jobs(jobs: DataFrame, f: Filter) -> DataFrame:
     """Jobs whose whole name matches one of the globs."""
-    return jobs.where(glob_match(F.col("name"), list(f.jobs))) if f.jobs else jobs
+    if len(f.jobs) <= MOST_GLOBS:
+        return jobs.where(glob_match(F.col("name"), list(f.jobs))) if f.jobs else jobs
+    # The count keeps the condition behind the grouping; otherwise it goes before it, to every row.
+    names = jobs.groupBy("name").agg(F.count("*").alias("_n")).where(F.when(F.col("_n") > 0, glob_match(F.col("name"), list(f.jobs))))
+    return jobs.join(names, "name", "left_semi").select(*jobs.columns)
 
 
 def latest_conclusion(tables: Tables) -> DataFrame:

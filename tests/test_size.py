@@ -9,6 +9,7 @@ import pytest
 from runlens import queries, state_queries  # noqa: F401
 from runlens.operators import flakes
 from runlens.plans import ci_view
+from runlens.plans.filters import Filter, matching_jobs
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,3 +44,11 @@ def test_flips_read_steps_once(spark, tmp_path):
     tables.steps.write.parquet(str(tmp_path / "steps"))
     plan = flakes.rerun_flips(replace(tables, steps=spark.read.parquet(str(tmp_path / "steps"))))._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall(r"Relation .*\bnumber#", plan)) == 1
+
+
+def test_many_globs_meet_names_once(spark):
+    rows = [(1, "job0"), (2, "job0"), (3, "xob2"), (4, "job1"), (5, None)]
+    found = matching_jobs(spark.createDataFrame(rows, "id int, name string"), Filter(jobs=tuple(f"other-{i}*" for i in range(50)) + ("job0", "?ob2")))
+    assert found.columns == ["id", "name"] and sorted(r.id for r in found.collect()) == [1, 2, 3]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("RLIKE") < plan.index("Aggregate")
