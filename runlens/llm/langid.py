@@ -19,6 +19,8 @@ from .workspace import crc32_of_id
 # Word characters that are neither letters nor decimal digits, such as fractions and Roman or circled numbers.
 _NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
 LETTERS = re.compile(rf"[^\W\d_{_NUMERALS}]+")
+# With the numerals, which one class can tell by category alone; the sets of LETTERS are gone through for every character.
+_RUNS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 #: Bounds of the fitted model: labelled texts in the sample, known words, known character n-grams, and their length.
 SAMPLE_DOCS, MOST_WORDS, MOST_GRAMS, LONGEST_GRAM = 10_000, 100_000, 100_000, 5
@@ -34,6 +36,14 @@ def grams(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
+def letter_runs(text: str) -> list[str]:
+    """The runs of letters, as LETTERS finds them, which cuts only runs that hold numerals."""
+    found = _RUNS.findall(text)
+    if all(map(str.isalpha, found)):
+        return found
+    return [word for run in found for word in ([run] if run.isalpha() else LETTERS.findall(run))]
+
+
 @dataclass
 class LanguageModel:
     """Log frequencies per language of words and of character n-grams; its size is bounded by the fit's parameters."""
@@ -55,7 +65,7 @@ class LanguageModel:
 
     def scores(self, text: str) -> tuple[np.ndarray, int] | None:
         """Mean of the word scores per language and the number of words; None for a text without letters."""
-        words = LETTERS.findall(text.lower())
+        words = letter_runs(text.lower())
         if not words or not self.languages:
             return None
         rows, total = [], np.zeros(len(self.languages))
@@ -92,7 +102,7 @@ def _counts(texts: DataFrame, text: str, lang: str) -> DataFrame:
         for batch in by_bytes(batches, text):
             found: Counter = Counter()
             for t, language in zip(column(batch, text).to_pylist(), column(batch, lang).to_pylist(), strict=True):
-                for word, c in Counter(LETTERS.findall((t or "").lower())).items():
+                for word, c in Counter(letter_runs((t or "").lower())).items():
                     found[language, 0, word] += c
                     for n in range(1, LONGEST_GRAM + 1):
                         for g in grams(word, n):

@@ -56,6 +56,21 @@ def test_numerals_are_no_letters(spark):
     assert got[3] == ("und", 0.0) and got[4][0] == "en" and got[1][0] == "en" and got[2][0] == "fr"
 
 
+def test_only_runs_with_numerals_are_cut(monkeypatch):
+    seen, whole = [], langid.LETTERS
+
+    class Watched:
+        def findall(self, text):
+            seen.append(text)
+            return whole.findall(text)
+
+    monkeypatch.setattr(langid, "LETTERS", Watched())
+    model = langid.LanguageModel(["x"], {}, {}, np.zeros((0, 1)), np.zeros((0, 1)))
+    text = "Plain wörds_of 12 letters\u4e00 " * 100 + "a\u00bdb\u2160c \u2460"
+    assert model.scores(text)[1] == len(whole.findall(text.lower()))
+    assert seen == ["a\u00bdb\u2170c", "\u2460"]
+
+
 def test_ids_equal_the_library(spark):
     import sentencepiece
 
