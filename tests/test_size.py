@@ -5,11 +5,13 @@ from dataclasses import replace
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from runlens import queries, state_queries  # noqa: F401
 from runlens.operators import flakes
 from runlens.plans import ci_view
 from runlens.plans.filters import Filter, matching_jobs
+from runlens.schema import ATTEMPT
 
 SF = "/root/testdata/sf0.001"
 
@@ -52,3 +54,14 @@ def test_many_globs_meet_names_once(spark):
     assert found.columns == ["id", "name"] and sorted(r.id for r in found.collect()) == [1, 2, 3]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("RLIKE") < plan.index("Aggregate")
+
+
+def test_joins_by_attempt_move_nothing_again(spark, monkeypatch):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        tables, others = ci_view.ci_tables(spark, SF), ci_view.ci_tables(spark, SF)
+        both = tables.jobs.join(others.jobs.select(*ATTEMPT, "job_id", F.col("name").alias("other")), [*ATTEMPT, "job_id"])
+        assert "ENSURE_REQUIREMENTS" not in both._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
