@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.filters import Filter, in_time, is_in, latest_conclusion, matching_jobs, of_runs
+from ..plans.filters import Filter, in_time, is_in, matching_jobs, of_runs
 from ..schema import ATTEMPT, RUN, Tables
 
 # Conclusions that count as a failure; events of pull requests.
@@ -96,16 +96,23 @@ def rerun_flips(tables: Tables, f: Filter = Filter()) -> DataFrame:
     return found.select(*RUN, "head_sha", "job", "step", "outcomes", logs.alias("logs"), F.when(F.col("step") == "", F.col("failing_steps")).otherwise(none).alias("failing_steps"), "first_seen")
 
 
+def _with_first(tables: Tables, f: Filter) -> DataFrame:
+    """Counted runs with first, their first attempt (null if it is missing). Runs and attempts are read once; a run's attempts are few."""
+    runs = of_runs(tables.runs, Filter(branches=f.branches, workflows=f.workflows, events=f.events), tables.runs)
+    own = tables.attempts.groupBy(*RUN).agg(F.collect_list(F.struct("attempt", "conclusion", "run_started_at")).alias("_attempts"))
+    both = runs.where(F.coalesce(~F.col("event").isin(*PULL_REQUESTS), F.lit(False))).join(own, RUN, "left")
+    nth = lambda n: F.get(F.filter("_attempts", lambda x: x["attempt"] == n), F.lit(0))
+    return both.withColumns({"first": nth(F.lit(1)), "_latest": nth(F.col("latest_attempt"))}).where(~F.col("_latest.conclusion").eqNullSafe("cancelled")).drop("_attempts", "_latest")
+
+
 def counted_runs(tables: Tables, f: Filter) -> DataFrame:
     """Runs that intermittent detection counts: no pull requests, and the latest attempt not cancelled."""
-    runs = of_runs(tables.runs, Filter(branches=f.branches, workflows=f.workflows, events=f.events), tables.runs)
-    runs = runs.where(F.coalesce(~F.col("event").isin(*PULL_REQUESTS), F.lit(False))).join(latest_conclusion(tables), RUN, "left")
-    return runs.where(~F.col("latest_conclusion").eqNullSafe("cancelled")).drop("latest_conclusion")
+    return _with_first(tables, f).drop("first")
 
 
 def gaps(tables: Tables, f: Filter = Filter()) -> DataFrame:
     """Counted runs whose first attempt is missing."""
-    return counted_runs(tables, f).join(tables.attempts.where("attempt = 1").select(*RUN), RUN, "left_anti")
+    return _with_first(tables, f).where("first is null").drop("first")
 
 
 def _on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
@@ -123,14 +130,17 @@ def _span(start: str) -> Column:
     return F.date_trunc("month", start)
 
 
-def with_gap_counts(runs: DataFrame, missing: DataFrame) -> DataFrame:
+def with_gap_counts(runs: DataFrame, missing: DataFrame | None = None) -> DataFrame:
     """runs with gaps_before, how many missing runs of the same workflow and branch come before each by (start, run_id), gaps, how many there are,
     and stretch: which STRETCH runs of the workflow and branch it is one of.
 
-    Counts are made within a month and added up over the months, so a branch with very many runs is no group in one task.
+    missing: the missing runs, or None if they are among runs, marked by _gap. Counts are made within a month and added up over the months, so a branch with very
+    many runs is no group in one task.
     """
     keys = SERIES[:4]
-    both = runs.withColumn("_gap", F.lit(False)).unionByName(missing.select(*keys, "run_id", "start", F.lit(True).alias("_gap")), allowMissingColumns=True).withColumn("_span", _span("start"))
+    if missing is not None:
+        runs = runs.withColumn("_gap", F.lit(False)).unionByName(missing.select(*keys, "run_id", "start", F.lit(True).alias("_gap")), allowMissingColumns=True)
+    both = runs.withColumn("_span", _span("start"))
     inside = Window.partitionBy(*keys, "_span").orderBy("start", "run_id")
     spans = both.groupBy(*keys, "_span").agg(F.count_if("_gap").alias("_n"), F.count("*").alias("_all"))
     earlier = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
@@ -146,20 +156,23 @@ def first_attempt_series(tables: Tables, f: Filter = Filter()) -> DataFrame:
     A gap is a run without a first attempt. It stands in every series of its workflow and branch, so it is no row here: each row has the number of gaps before it
     (gaps_before) and of all (gaps), and two rows with a gap between them differ in the former.
     """
-    first = tables.attempts.where((F.col("attempt") == 1) & ~F.col("conclusion").eqNullSafe("cancelled")).select(*RUN, F.col("run_started_at").alias("start"))
-    runs = counted_runs(tables, f).select(*RUN, "workflow_id", "workflow_name", "head_branch", "head_sha").join(first, RUN)
-    runs = with_gap_counts(runs, gaps(tables, f).withColumn("start", F.col("created_at")))
+    counted = _with_first(tables, f).where(~F.col("first.conclusion").eqNullSafe("cancelled"))
+    gap, about = F.col("first").isNull(), ["workflow_id", "workflow_name", "head_branch", "head_sha"]
+    runs = with_gap_counts(counted.select(*RUN, *about, F.when(gap, F.col("created_at")).otherwise(F.col("first.run_started_at")).alias("start"), gap.alias("_gap")))
+    told = F.struct(*[c for c in runs.columns if c not in RUN]).alias("run")
     jobs = matching_jobs(tables.jobs, f).where("attempt = 1 and kind = 'ran'").select(*ATTEMPT, "job_id", "name", "conclusion", "kind", F.when(F.col("has_log"), F.col("path")).alias("path"))
-    seen = observations(jobs.join(runs, RUN, "left_semi"), tables.steps)
+    # What a run's rows need of it goes along with them, so that runs are counted once.
+    seen = observations(jobs.join(runs.select(*RUN, told), RUN), tables.steps)
     concluded = failing(F.col("conclusion")) | (F.col("conclusion") == "success")
     bad = failing(F.col("conclusion"))
     by_run = seen.where(concluded).groupBy(*RUN, "job", "step").agg(
         F.coalesce(F.min(F.when(bad, F.struct("job_id", "pos", "conclusion")))["conclusion"], F.lit("success")).alias("conclusion"),
         F.array_sort(F.collect_set(F.when(bad, F.struct("job_id", "path")))).alias("logs"),
         F.min(F.struct("job_id", "pos")).alias("place"),
-    )
+        F.first("run").alias("run"),
+    ).select("*", "run.*")
     logs = F.transform(F.filter("logs", lambda x: x["path"].isNotNull()), lambda x: x["path"])
-    return by_run.join(runs, RUN).select(
+    return by_run.select(
         *SERIES, "run_id", "workflow_name", "head_sha", "start", "conclusion", logs.alias("logs"), F.struct("start", "run_id", "place.job_id", "place.pos").alias("seen_at"), "gaps_before", "gaps", "stretch"
     )
 
@@ -210,9 +223,11 @@ def intermittent_failures(tables: Tables, f: Filter = Filter()) -> DataFrame:
     })
     found = told.where(F.size("alone") > 0).select(*SERIES, "workflow_name", "runs", "first_seen", F.explode("alone").alias("x"))
     if f.shas or f.prs or f.conclusions or f.since or f.until:
-        chosen = of_runs(tables.runs, Filter(shas=f.shas, prs=f.prs), tables.runs)
         attempts = in_time(is_in(tables.attempts, "conclusion", f.conclusions) if f.conclusions else tables.attempts, f, "run_started_at")
-        found = found.withColumn("run_id", F.col("x.run_id")).join(chosen.select(*RUN).join(attempts.select(*RUN).distinct(), RUN, "left_semi"), RUN, "left_semi")
+        chosen = attempts.select(*RUN).distinct()
+        if f.shas or f.prs:
+            chosen = of_runs(tables.runs, Filter(shas=f.shas, prs=f.prs), tables.runs).select(*RUN).join(chosen, RUN, "left_semi")
+        found = found.withColumn("run_id", F.col("x.run_id")).join(chosen, RUN, "left_semi")
     failure = F.struct("x.start", "x.run_id", "x.head_sha", "x.conclusion", "x.logs")
     return found.groupBy(*SERIES, "workflow_name", "runs", "first_seen").agg(F.array_sort(F.collect_list(failure)).alias("failures"))
 

@@ -65,3 +65,12 @@ def test_joins_by_attempt_move_nothing_again(spark, monkeypatch):
         assert "ENSURE_REQUIREMENTS" not in both._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_series_read_attempts_a_few_times(spark, tmp_path):
+    tables = ci_view.ci_tables(spark, SF)
+    tables.attempts.write.parquet(str(tmp_path / "attempts"))
+    tables = replace(tables, attempts=spark.read.parquet(str(tmp_path / "attempts")))
+    for f, most in ((Filter(branches=("main",)), 4), (Filter(since=queries.SINCE), 5)):
+        plan = flakes.intermittent_failures(tables, f)._jdf.queryExecution().optimizedPlan().toString()
+        assert len(re.findall(r"Relation .*\brun_started_at#", plan)) <= most
