@@ -87,21 +87,25 @@ def listing_attempts(listed: DataFrame) -> DataFrame:
     return new.groupBy(*RUN, "artifact_id").agg(F.min("attempt").alias("attempt"))
 
 
-def started_attempts(artifacts: DataFrame, attempts: DataFrame) -> DataFrame:
-    """(run, artifact_id, attempt): the attempt that was under way when an artifact was made; the next one must be known,
-    unless there is none. An equality join on the run, then one comparison per attempt."""
-    w = Window.partitionBy(*RUN).orderBy("attempt")
-    spans = attempts.select(*RUN, "attempt", "run_started_at").withColumns({"next": F.lead("attempt").over(w), "until": F.lead("run_started_at").over(w)})
-    inside = (F.col("created_at") >= F.col("run_started_at")) & (F.col("next").isNull() | ((F.col("next") == F.col("attempt") + 1) & (F.col("created_at") < F.col("until"))))
-    met = artifacts.select(*RUN, "artifact_id", "created_at").join(spans, RUN).where(inside)
-    return met.groupBy(*RUN, "artifact_id").agg(F.max("attempt").alias("attempt"))
+def with_started(artifacts: DataFrame, attempts: DataFrame) -> DataFrame:
+    """artifacts with t, the attempt that was under way when an artifact was made; the next one must be known, unless there is none.
+
+    A run's attempts are few: they come as one row, so artifacts are read and joined once.
+    """
+    own = attempts.groupBy(*RUN).agg(F.array_sort(F.collect_list(F.struct("attempt", "run_started_at"))).alias("_spans"))
+
+    def inside(x: Column, i: Column) -> Column:
+        later = F.get("_spans", i + 1)
+        return (F.col("created_at") >= x["run_started_at"]) & (later.isNull() | ((later["attempt"] == x["attempt"] + 1) & (F.col("created_at") < later["run_started_at"])))
+
+    under_way = F.array_max(F.transform(F.filter("_spans", inside), lambda x: x["attempt"]))
+    return artifacts.join(own, RUN, "left").withColumn("t", under_way).drop("_spans")
 
 
 def attribute_artifacts(artifacts: DataFrame, attempts: DataFrame, listed: DataFrame) -> DataFrame:
     """(run, artifact_id, attributed_attempt, attribution): by listing-diff, else timestamp, else unknown with no attempt."""
     by_list = listing_attempts(listed).withColumnRenamed("attempt", "l")
-    by_time = started_attempts(artifacts, attempts).withColumnRenamed("attempt", "t")
-    both = artifacts.select(*RUN, "artifact_id").join(by_list, [*RUN, "artifact_id"], "left").join(by_time, [*RUN, "artifact_id"], "left")
+    both = with_started(artifacts.select(*RUN, "artifact_id", "created_at"), attempts).join(by_list, [*RUN, "artifact_id"], "left")
     how = F.when(F.col("l").isNotNull(), "listing-diff").when(F.col("t").isNotNull(), "timestamp").otherwise("unknown")
     return both.select(*RUN, "artifact_id", F.coalesce("l", "t").alias("attributed_attempt"), how.alias("attribution"))
 

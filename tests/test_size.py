@@ -74,3 +74,8 @@ def test_series_read_attempts_a_few_times(spark, tmp_path):
     for f, most in ((Filter(branches=("main",)), 4), (Filter(since=queries.SINCE), 5)):
         plan = flakes.intermittent_failures(tables, f)._jdf.queryExecution().optimizedPlan().toString()
         assert len(re.findall(r"Relation .*\brun_started_at#", plan)) <= most
+
+
+def test_attribution_reads_jobs_a_few_times(spark):
+    plan = queries.QUERIES["J10_J11_attribution"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Relation .*\bl_orderkey#", plan)) <= 7
