@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from runlens import queries, state_queries  # noqa: F401
 from runlens.operators import flakes
+from runlens.operators.texts import first_lines
 from runlens.plans import ci_view
 from runlens.plans.filters import Filter, matching_jobs
 from runlens.schema import ATTEMPT
@@ -56,6 +57,16 @@ def test_many_globs_meet_names_once(spark):
     assert plan.index("RLIKE") < plan.index("Aggregate")
 
 
+def test_words_travel_without_their_lines(spark):
+    lines = spark.createDataFrame([("a", 1, "one two three four"), ("a", 2, "xone two threex"), ("a", 3, "zero one two three"), ("b", 1, "two")], "path string, line int, text string")
+    asked = spark.createDataFrame([("a", "one two three"), ("a", "four"), ("a", "three two one"), ("b", "two"), ("b", None)], "path string, text string")
+    found = first_lines(asked, lines)
+    assert sorted(map(tuple, found.collect())) == [("a", "four", 1), ("a", "one two three", 1), ("b", "two", 1)]
+    plan = found._jdf.queryExecution().analyzed().toString().splitlines()
+    exploded = next(i for i, x in enumerate(plan) if "Generate explode" in x)
+    assert "found#" not in plan[exploded - 1]
+
+
 def test_joins_by_attempt_move_nothing_again(spark, monkeypatch):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
